@@ -1,9 +1,9 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import lines, splitting
+from . import lines, mixing, neardup, packing, splitting
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (splitting, lines):
+for _module in (splitting, lines, neardup, packing, mixing):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
