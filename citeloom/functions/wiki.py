@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .parallel import spread
+
 _REF = re.compile(r"<ref\b([^>]*?)/>|<ref\b([^>]*?)>(.*?)</ref\s*>", re.S | re.I)
 _URL = re.compile(r"https?://[^\s|\]}<>\"]+")
 _NAME = re.compile(r"name\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s/>]+)")
@@ -166,4 +168,5 @@ def facts(pages: DataFrame, denied: tuple[str, ...] = (), compat: bool = False,
             rows = [(t, *f) for t, s in zip(b["title"], b["source"]) for f in page_facts(s, denied, compat=compat)]
             yield pd.DataFrame(rows, columns=["title", "fact", "marked", "extracted", "citation_urls", "pos"])
 
-    return pages.selectExpr(f"`{title}` AS title", f"`{source}` AS source").filter("title IS NOT NULL AND source IS NOT NULL").mapInPandas(run, SCHEMA)
+    rows = pages.selectExpr(f"`{title}` AS title", f"`{source}` AS source").filter("title IS NOT NULL AND source IS NOT NULL")
+    return spread(rows).mapInPandas(run, SCHEMA)
