@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parallel import spread
 from .common import cut, h64, read, signed, site
 
 LEAST = 8
@@ -40,7 +41,7 @@ def line_keys(df: DataFrame, key: str = "_id", text: str = "text", host=None) ->
                 keys.append(signed(np.array([h64(pre + x) or 1 if x else 0 for x in normalise(t)], np.uint64)))
             yield pd.DataFrame({"id": b["id"], "site": b["site"], "keys": keys})
 
-    return rows.mapInPandas(run, f"id {kind}, site string, keys array<bigint>").groupBy("id").agg(F.max("site").alias("site"), F.max("keys").alias("keys"))
+    return spread(rows).mapInPandas(run, f"id {kind}, site string, keys array<bigint>").groupBy("id").agg(F.max("site").alias("site"), F.max("keys").alias("keys"))
 
 
 def shrink(keys: np.ndarray, counts: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray, int]:

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parallel import spread
 from .common import WORD, WordHash, cut, mix, read, shingles, signed
 
 SHINGLE, LIKENESS, LEAST_WORDS = 5, 0.6, 40
@@ -69,7 +70,7 @@ def signatures(df: DataFrame, key: str, text: str, k: int, least_words: int, row
             yield pd.DataFrame(out)
 
     rows_ = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    return rows_.mapInPandas(run, f"id {kind}, cls binary, n int, bands array<bigint>, sig binary")
+    return spread(rows_).mapInPandas(run, f"id {kind}, cls binary, n int, bands array<bigint>, sig binary")
 
 
 def near_duplicates(df: DataFrame, key: str = "_id", text: str = "text", likeness: float = LIKENESS, k: int = SHINGLE, least_words: int = LEAST_WORDS, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.parallel import spread
 from .common import cut, read
 from .tokens import n_tokens
 
@@ -85,7 +86,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     `capacity` lengths; items are matched to the plan by length and rank.
     """
     amount = n_tokens(F.col(f"`{text}`"), tokenizer) if size is None else F.greatest(F.coalesce(F.col(f"`{size}`").cast("int"), F.lit(0)), F.lit(0))
-    items = cut(df.select(F.col(f"`{key}`").alias("k"), amount.alias("total")).groupBy("k").agg(F.max("total").alias("total")), "sizes")
+    items = cut((df if size else spread(df)).select(F.col(f"`{key}`").alias("k"), amount.alias("total")).groupBy("k").agg(F.max("total").alias("total")), "sizes")
     full = F.floor(F.col("total") / capacity).cast("int")
     rest = F.col("total") % capacity
     hist = {int(r["rest"]): int(r["n"]) for r in items.select(rest.alias("rest")).filter("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}

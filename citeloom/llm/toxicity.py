@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parallel import spread
 from .common import cut, read
 
 #: Bounds of the fitted sample: documents with confirmed verdicts, and unlabelled documents, those with the smallest hash of their key.
@@ -247,7 +248,7 @@ def toxicity(documents: DataFrame, model: Model, key: str = "doc_id", text: str
         for b in batches:
             yield pd.DataFrame({key: b[key], "score": [m.score(t) for t in b["text"]]})
 
-    return documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text")).mapInPandas(run, f"`{key}` {kind}, score double")
+    return spread(documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))).mapInPandas(run, f"`{key}` {kind}, score double")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
