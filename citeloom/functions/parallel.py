@@ -13,8 +13,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= want * split or len(df.inputFiles()) >= want:
         return df
     return df.repartition(want)
