@@ -102,7 +102,7 @@ def clean_markdown(text: str | None, least_words: int = 0) -> str | None:
 _META = re.compile(r"<meta[^>]+(?:property|name|itemprop)=[\"'](?:article:published_time|datePublished|date|pubdate|dc\.date|publishdate)[\"'][^>]*content=[\"']([^\"']+)", re.I)
 _META2 = re.compile(r"<meta[^>]+content=[\"']([^\"']+)[\"'][^>]*(?:property|name|itemprop)=[\"'](?:article:published_time|datePublished|date|pubdate|dc\.date|publishdate)[\"']", re.I)
 _TIME = re.compile(r"<time[^>]+datetime=[\"']([^\"']+)", re.I)
-_ISO = re.compile(r"\b((?:19|20)\d{2})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])\b")
+_ISO = re.compile(r"(?<!\d)((?:19|20)\d{2})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])(?!\d)")
 
 
 def published(html: str | None) -> str | None:
