@@ -45,13 +45,13 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_·*]{1,2}[^\W\d_](?![^\W_])){
 _LEET = re.compile(r"(?<![\w@$!(+])(?=[^\s]*[^\W\d_])[(@$]?(?:[^\W_]|[@$!(+|](?=[^\W_]))+")
 _MASK = re.compile(r"([^\W\d_])[*#]{2,}([^\W\d_])?")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
-_MIXED = re.compile(r"[a-z][а-яё]|[а-яё][a-z]")
+_MIXED = re.compile(r"[a-z][а-яёіјѕ]|[а-яёіјѕ][a-z]")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_]+(?:'[^\W\d_]+)?(?:\*[^\W\d_]?)?")
 _SEGMENT = re.compile(r"[.!?…;。！？]+(?=[\s\"'”’»)]|$)[\"'”’»)]*|\n+|(?<=[。！？])")
 # fixed values: signs that stand for letters
 _SIGNS = str.maketrans("@431!05$7(+|", "aeiiiosstctl")
 _TWINS = str.maketrans("аеорсухіјѕкмтвн", "aeopcyxijskmtbh")
-_ODD = re.compile(r"[­​-‏⁠️﻿*#@$(|+]|\d[^\W\d_]|[^\W\d_][\d!][^\W_]|[a-z][а-яё]|[а-яё][a-z]|(?<![^\W_])[^\W\d_][ .\-_·][^\W\d_][ .\-_·][^\W\d_](?![^\W_])|([^\W\d_])\1\1")
+_ODD = re.compile(r"[­​-‏⁠️﻿*#@$(|+]|\d[^\W\d_]|[^\W\d_][\d!][^\W_]|[a-z][а-яёіјѕ]|[а-яёіјѕ][a-z]|(?<![^\W_])[^\W\d_][ .\-_·][^\W\d_][ .\-_·][^\W\d_](?![^\W_])|([^\W\d_])\1\1")
 
 
 def normalise(text: str) -> str:
