@@ -64,7 +64,7 @@ def truncate_words(text: Column, n: int) -> Column:
 
 def sentence_lines(text: Column) -> Column:
     """STR-21: trimmed lines that aren't empty."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentence_tokens(text: Column) -> Column:

@@ -1,6 +1,6 @@
 """All queries of the core and their SQL."""
 
-from . import building, scoring
+from . import building, older, scoring
 
-QUERIES = {**building.QUERIES, **scoring.QUERIES}
-SQL = {**building.SQL, **scoring.SQL}
+QUERIES = {**building.QUERIES, **scoring.QUERIES, **older.QUERIES}
+SQL = {**building.SQL, **scoring.SQL, **older.SQL}

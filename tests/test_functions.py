@@ -131,3 +131,7 @@ def test_wiki_facts():
     assert wiki.page_facts(None) == [] and wiki.page_facts("") == []
     assert wiki.page_facts("[REF-x] {{unclosed <ref>http://a.example</ref>") == [(0, "", "[REF-x] {{unclosed", ["http://a.example"], [0])]
     assert wiki.drop_nested("a{{b{{c}}d}}e", "{{", "}}") == "ae" and wiki.drop_nested("a{{b", "{{", "}}") == "a{{b"
+
+
+def test_sentence_lines_keep_digits(spark):
+    assert one(spark, text.sentence_lines(F.col("a")), a="0 a 0\n\n 1 b 1 \n2") == ["0 a 0", "1 b 1", "2"]
