@@ -189,4 +189,11 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
-SQL: dict = {}
+SQL = {
+    "p6_found": r"""
+WITH docs AS (SELECT _id, list_filter(regexp_split_to_array(lower(min(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM corpus WHERE text IS NOT NULL AND _id IS NOT NULL GROUP BY _id),
+sh AS (SELECT DISTINCT _id, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT _id, w, unnest(range(len(w) - 4)) AS i FROM docs WHERE len(w) >= 40)),
+size AS (SELECT _id, count(*) AS n FROM sh GROUP BY _id),
+common AS (SELECT a._id AS id_a, b._id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a._id < b._id GROUP BY a._id, b._id)
+SELECT id_a, id_b FROM common JOIN size x ON x._id = id_a JOIN size y ON y._id = id_b WHERE c / (x.n + y.n - c) >= 0.6"""
+}
