@@ -103,3 +103,14 @@ def shingles(words: list[str], k: int, memo: WordHash) -> np.ndarray:
     for i in range(k):
         h = mix(h * MULT[i % 5] + w[i : i + n] + np.uint64(i))
     return np.unique(h)
+
+
+def bounded_sample(df: DataFrame, by: list[str], most: int) -> list:
+    """Rows of df, all where there are at most `most`, else about `most` of them by the hash of columns `by`; never more reach the driver.
+
+    The rows are filtered where they are, so no task sends more than its share (an ordered limit would send `most` rows of every task).
+    """
+    n = df.count()
+    h = F.pmod(F.xxhash64(*by), F.lit(1 << 40))
+    kept = df.withColumn("_h", h) if n <= most else df.withColumn("_h", h).filter(F.col("_h") < int(most / n * (1 << 40)))
+    return sorted(kept.collect(), key=lambda r: (r["_h"], *(str(r[c]) for c in by)))[:most]

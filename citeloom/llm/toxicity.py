@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parallel import spread
-from .common import cut, read
+from .common import bounded_sample, cut, read
 
-#: Bounds of the fitted sample: documents with confirmed verdicts, and unlabelled documents, those with the smallest hash of their key.
+#: Bounds of the fitted sample: documents with confirmed verdicts, and unlabelled documents, chosen by the hash of their key.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 #: A document above this score is toxic.
 THRESHOLD = 0.4
@@ -230,11 +230,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     share = known.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
     if not share:
         return Model(-30.0)
-    docs = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text <> ''").withColumn("h", F.xxhash64("doc_id"))
-    toxic = docs.join(known.filter("toxic").select("doc_id", "votes"), "doc_id").orderBy(F.desc("votes"), "h").limit(most_positive)
-    rest = docs.join(known.filter("toxic").select("doc_id"), "doc_id", "left_anti").orderBy("h").limit(most_unlabelled)
-    positive = [r["text"] for r in toxic.select("text", "h").orderBy("h").collect()]
-    unlabelled = [r["text"] for r in rest.select("text", "h").orderBy("h").collect()]
+    docs = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text <> ''")
+    toxic = known.filter("toxic").select("doc_id")
+    positive = [r["text"] for r in bounded_sample(docs.join(toxic, "doc_id", "left_semi"), ["doc_id"], most_positive)]
+    unlabelled = [r["text"] for r in bounded_sample(docs.join(toxic, "doc_id", "left_anti"), ["doc_id"], most_unlabelled)]
     return train(positive, unlabelled, float(share))
 
 
