@@ -21,6 +21,9 @@ MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 #: A document above this score is toxic.
 THRESHOLD = 0.4
 WINDOW = 14
+#: Weights nearer to zero than this are dropped.
+FAINT = 0.05
+LOW_BIAS = -1.0
 # fixed values: the notations of verdicts
 TOXIC, CLEAN = frozenset("abusive abuse hateful hate adult sexual toxic explicit".split()), frozenset("ok clean fine safe".split())
 
@@ -47,17 +50,24 @@ _MASK = re.compile(r"([^\W\d_])[*#]{2,}([^\W\d_])?")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _MIXED = re.compile(r"[a-z][а-яёіјѕ]|[а-яёіјѕ][a-z]")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_]+(?:'[^\W\d_]+)?(?:\*[^\W\d_]?)?")
-_SEGMENT = re.compile(r"[.!?…;。！？]+(?=[\s\"'”’»)]|$)[\"'”’»)]*|\n+|(?<=[。！？])")
+_CJK = re.compile("[぀-ヿ㐀-鿿]")
+_SEGMENT = re.compile(r"[.!?…;]+(?=[\s\"'”’»)]|$)|\n+|[。！？；]+")
 # fixed values: signs that stand for letters
 _SIGNS = str.maketrans("@431!05$7(+|", "aeiiiosstctl")
 _TWINS = str.maketrans("аеорсухіјѕкмтвн", "aeopcyxijskmtbh")
-_ODD = re.compile(r"[­​-‏⁠️﻿*#@$(|+]|\d[^\W\d_]|[^\W\d_][\d!][^\W_]|[a-z][а-яёіјѕ]|[а-яёіјѕ][a-z]|(?<![^\W_])[^\W\d_][ .\-_·][^\W\d_][ .\-_·][^\W\d_](?![^\W_])|([^\W\d_])\1\1")
+_ODD_SIGNS = (*"*#@$(|+", *(3 * c for c in "abcdefghijklmnopqrstuvwxyz"))
+_ODD = re.compile(r"\d[^\W\d_]|[\d!](?<=[^\W\d_].)[^\W_]|[ .\-_·][^\W\d_][ .\-_·][^\W\d_](?![^\W_])")
+_ODD_OTHER = re.compile(r"[­\u200b-\u200f\u2060\ufe0f\ufeff]|[a-z][а-яёіјѕ]|[а-яёіјѕ][a-z]|([^\W\d_a-z])\1\1")
+
+
+def _odd(s: str) -> bool:
+    return any(x in s for x in _ODD_SIGNS) or bool(_ODD.search(s)) or not s.isascii() and bool(_ODD_OTHER.search(s))
 
 
 def normalise(text: str) -> str:
     """Lower case with the usual disguises undone: hidden signs, spaced or stretched letters, digits and signs for letters, twins of other scripts, masks."""
     s = text.lower()
-    if not _ODD.search(s):
+    if not _odd(s):
         return s
     s = unicodedata.normalize("NFKC", _HIDDEN.sub("", s))
     s = _SPACED.sub(lambda m: re.sub(r"[ .\-_·*]", "", m[0]), s)
@@ -79,13 +89,12 @@ def normalise(text: str) -> str:
 def tokens(text: str) -> list[list[str]]:
     """The segments of a text (sentences, lines) as lists of words; script without blanks gives pairs of signs."""
     out = []
-    for part in _SEGMENT.split(normalise(text)):
-        words: list[str] = []
-        for w in _TOKEN.findall(part or ""):
-            if w[0] >= "぀" and w[0] <= "鿿":
-                words += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
-            else:
-                words.append(w)
+    clean = normalise(text)
+    signs = not clean.isascii() and _CJK.search(clean) is not None
+    for part in _SEGMENT.split(clean):
+        words = _TOKEN.findall(part)
+        if signs:
+            words = [x for w in words for x in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if "぀" <= w[0] <= "鿿" else (w,))]
         if words:
             out.append(words)
     return out
@@ -99,6 +108,17 @@ class Model:
     one: dict[str, float] = field(default_factory=dict)
     two: dict[tuple[str, str], float] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        # the most that a word can add, with the pair that it begins
+        self.most = {w: v for w, v in self.one.items() if v > 0}
+        best: dict[str, float] = {}
+        for (a, _), v in self.two.items():
+            if v > 0:
+                best[a] = max(best.get(a, 0.0), v)
+        for a, v in best.items():
+            self.most[a] = self.most.get(a, 0.0) + v
+        self.hot = set(self.most)
+
     def segment(self, words: list[str]) -> float:
         """Logit of a segment: of the whole, or of its window with the most weight where it is longer."""
         one, two = self.one, self.two
@@ -123,7 +143,11 @@ class Model:
         parts = tokens(text)
         if not parts:
             return 0.0
-        top = max(self.segment(p) for p in parts)
+        # a bias this low lies under any threshold in use, and is reported for all texts that come to less: most segments then need no sum
+        top = self.bias if self.bias <= LOW_BIAS else -30.0
+        for p in parts:
+            if (self.bias > LOW_BIAS or not self.hot.isdisjoint(p)) and self.bias + sum(v for w in p if (v := self.most.get(w, 0.0))) > top:
+                top = max(top, self.segment(p))
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, top)))))
 
 
@@ -131,52 +155,44 @@ def _features(words: list[str]) -> set:
     return {*words, *zip(words, words[1:])}
 
 
-def _fit(pos: list[list[str]], unl: list[list[str]], prior: float, steps: int = 100, rate: float = 0.15, ridge: float = 2e-3, least: int = 2) -> Model:
-    """Linear classifier under the non-negative positive-unlabelled risk: prior * R+(P) + max(0, R-(U) - prior * R-(P)), by Adam."""
-    count: Counter = Counter()
-    for seg in pos:
-        count.update(_features(seg))
-    kept = {f for f, n in count.items() if n >= least or isinstance(f, str)}
-    usual: Counter = Counter()
-    for seg in unl:
-        usual.update(set(seg))
-    kept |= {f for f, n in usual.items() if n >= 2 * least}
-    names = {f: i for i, f in enumerate(sorted(kept, key=repr))}
-    size = len(names) + 1
+def _matrix(segs: list[list[str]], names: dict) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row and column of every feature of every segment that has a name, the last column being the bias; and the number of segments."""
+    cols: list[int] = []
+    sizes = []
+    for seg in segs:
+        ids = {i for f in seg if (i := names.get(f)) is not None}
+        ids.update(i for f in zip(seg, seg[1:]) if (i := names.get(f)) is not None)
+        cols += ids
+        cols.append(len(names))
+        sizes.append(len(ids) + 1)
+    return np.repeat(np.arange(len(segs)), sizes), np.array(cols, np.int64), len(segs)
 
-    def matrix(segs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        cols, rows = [], []
-        for r, seg in enumerate(segs):
-            ids = [names[f] for f in _features(seg) if f in names] + [size - 1]
-            cols += ids
-            rows += [r] * len(ids)
-        return np.array(rows, np.int64), np.array(cols, np.int64)
 
-    (pr, pc), (ur, uc) = matrix(pos), matrix(unl)
+def _fit(pos: tuple, unl: tuple, names: dict, prior: float, steps: int = 100, rate: float = 0.15, ridge: float = 2e-3) -> Model:
+    """Linear classifier under the non-negative positive-unlabelled risk: prior * R+(P) + max(0, R-(U) - prior * R-(P)), by Adam."""
+    (pr, pc, n_pos), (ur, uc, n_unl) = pos, unl
+    size = len(names) + 1
     w = np.zeros(size)
     w[-1] = -2.0
     m, v = np.zeros(size), np.zeros(size)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        zp = np.bincount(pr, w[pc], len(pos))
-        zu = np.bincount(ur, w[uc], len(unl))
+        zp = np.bincount(pr, w[pc], n_pos)
+        zu = np.bincount(ur, w[uc], n_unl)
         sp, su = sigmoid(zp), sigmoid(zu)
         if t <= steps // 2:  # a convex start: the plain risk of positive against unlabelled with the logistic loss
-            gp, gu = prior * (sp - 1) / len(pos), su / len(unl)
+            gp, gu = prior * (sp - 1) / n_pos, su / n_unl
         else:  # the risk itself with the bounded sigmoid loss; its negative part has no slope once it is at zero
             up = -sp * (1 - sp)
-            gp, gu = prior * up / len(pos), np.zeros(len(unl))
+            gp, gu = prior * up / n_pos, np.zeros(n_unl)
             if su.mean() - prior * sp.mean() > 0:
-                gp, gu = gp + prior * up / len(pos), su * (1 - su) / len(unl)
+                gp, gu = gp + prior * up / n_pos, su * (1 - su) / n_unl
         g = np.bincount(pc, gp[pr], size) + np.bincount(uc, gu[ur], size)
         g = g / prior + ridge * w * (np.arange(size) < size - 1)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    model = Model(float(w[-1]))
-    for f, i in names.items():
-        if abs(w[i]) > 1e-3:
-            (model.one if isinstance(f, str) else model.two)[f] = float(w[i])
-    return model
+    weights = {f: float(w[i]) for f, i in names.items() if w[i] > FAINT or w[i] < -FAINT}
+    return Model(float(w[-1]), {f: v for f, v in weights.items() if isinstance(f, str)}, {f: v for f, v in weights.items() if not isinstance(f, str)})
 
 
 def train(positive: list[str], unlabelled: list[str], prior: float, rounds: int = 3) -> Model:
@@ -205,10 +221,17 @@ def train(positive: list[str], unlabelled: list[str], prior: float, rounds: int
         if top > 0:
             chosen += [s for s, x in zip(d, gain) if x >= 0.6 * top]
     chosen = chosen or [s for d in pos_docs for s in d]
+    usual: Counter = Counter()
+    for s in unl:
+        usual.update(set(s))
+    count: Counter = Counter(f for d in [*pos_docs, seeds] for s in d for f in _features(s))
+    kept = {f for f, n in count.items() if n >= 2 or isinstance(f, str)} | {f for f, n in usual.items() if n >= 4}
+    names = {f: i for i, f in enumerate(sorted(kept, key=repr))}
+    unl_matrix = _matrix(unl, names)
     model = Model(-30.0)
     for r in range(rounds):
         share = min(0.3, max(1e-3, prior * min(2.0, max(1.0, len(chosen) / len(pos_docs))) / per_doc))
-        model = _fit(chosen + seeds, unl, share)
+        model = _fit(_matrix(chosen + seeds, names), unl_matrix, names, share)
         if r + 1 < rounds:
             picked = [s for d in pos_docs for s in sorted(d, key=model.segment, reverse=True)[:3] if model.segment(s) > 0]
             chosen = picked or chosen
