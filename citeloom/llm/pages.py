@@ -20,7 +20,7 @@ from .common import cut, h64, read, signed, site
 
 #: Distinct pages that make a path a template: paths of up to SHORT characters, and longer ones (near-equal copies of an article are fewer).
 SUPPORT_SHORT, SUPPORT_LONG, SHORT = 8, 14, 60
-#: A line longer than this is prose by its text-to-path ratio alone and needs no template.
+#: A line longer than this is prose by its length unless its path, or those of all its sentences, are templates; phrases don't decide on it.
 PARAGRAPH = 300
 #: Supported paths up to this number are broadcast (8 bytes each), beyond it they are joined to their pages.
 BROADCAST = 2_000_000
@@ -154,10 +154,18 @@ def _scan_line(line: str, host: str, signs: bool, program: bool) -> tuple[int, l
                 slots += 1
     if program and n <= 400 and _PROGRAM.search(s):
         code |= PROGRAM
-    if n > PARAGRAPH:
-        return code | LONG | PROSE, own, slots
     if not _ANY.search(s):
         return code or EMPTY, own, slots
+    if n > PARAGRAPH:
+        key = template(s.strip(_OUTER), host)
+        if key:
+            code |= HAS_KEY
+            own.append(_hash(key, len(key)))
+            keys = [k for x in _SENT.split(s.strip(_OUTER)) if (k := template(x, host))]
+            if len(keys) > 1:
+                code |= len(keys) << SEGMENTS
+                own += [_hash(k, len(k)) for k in keys]
+        return code | LONG | PROSE, own, slots
     if _ITEM.match(s):
         code |= ITEM
     core = s.strip(_OUTER)
@@ -196,7 +204,7 @@ def _scan_line(line: str, host: str, signs: bool, program: bool) -> tuple[int, l
         if len(segs) < 2 or max(map(len, segs)) > 30:
             segs = _SENT.split(core) if code & (PROSE | ENDED) else []
         keys = [k for x in segs if (k := template(x, host))] if len(segs) > 1 else []
-        if 1 < len(keys) < 256:
+        if len(keys) > 1:
             code |= len(keys) << SEGMENTS
             own += [_hash(k, len(k)) for k in keys]
     return code, own, slots
@@ -210,7 +218,7 @@ def _hash(key: str, n: int) -> int:
 def page_paths(pages: DataFrame) -> DataFrame:
     """pages (tbl, page_key, url, text) -> (tbl, page_key, page, codes, hashes, slots, filler), one row per page.
 
-    Texts with mark-up are read line by line after their tags have become line breaks. Where one key comes with two texts the greater row counts.
+    Texts are read line by line as they are; extracted pages have no tags. Where one key comes with two texts the greater row counts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,14 +227,14 @@ def page_paths(pages: DataFrame) -> DataFrame:
             out: dict[str, list] = {c: [] for c in ("codes", "hashes", "slots", "filler")}
             for s, t in zip(b["site"], b["text"]):
                 codes, hashes, slots, filler = scan(t, host_words(s), memo)
-                out["codes"].append(np.array(codes, np.int32))
+                out["codes"].append(np.array(codes, np.int64))
                 out["hashes"].append(signed(np.array(hashes, np.uint64)))
                 out["slots"].append(slots)
                 out["filler"].append(filler)
             yield b[["tbl", "page_key", "page"]].assign(**out)
 
     rows = pages.filter("page_key IS NOT NULL AND text IS NOT NULL").select("tbl", "page_key", F.xxhash64(F.lower(F.coalesce("url", "page_key"))).alias("page"), site(F.col("url")).alias("site"), "text")
-    got = spread(rows).mapInPandas(run, "tbl string, page_key string, page bigint, codes array<int>, hashes array<bigint>, slots int, filler int")
+    got = spread(rows).mapInPandas(run, "tbl string, page_key string, page bigint, codes array<bigint>, hashes array<bigint>, slots int, filler int")
     return got.groupBy("tbl", "page_key").agg(F.max(F.struct("page", "codes", "hashes", "slots", "filler")).alias("p")).select("tbl", "page_key", "p.*")
 
 
@@ -251,7 +259,7 @@ def judge(codes: list[int], hashes: list[int], known: set[int], slots: int, fill
         at += bool(c & HAS_KEY)
         prefixed = bool(c & HAS_PREFIX) and hashes[at] in known
         at += bool(c & HAS_PREFIX)
-        k = (c >> SEGMENTS) & 0xFF
+        k = c >> SEGMENTS
         parts = k > 1 and all(h in known for h in hashes[at : at + k])
         at += k
         if not c & META:
@@ -290,7 +298,7 @@ def judge(codes: list[int], hashes: list[int], known: set[int], slots: int, fill
         elif template_line[i] or c & (LINK | TOPIC | NOTICE):
             linking = False
             drop[i] = True
-            if c & WORDY and not c & (LINK | TOPIC | NOTICE | ITEM | ENDED) and not (c >> SEGMENTS) & 0xFF:
+            if c & WORDY and not c & (LINK | TOPIC | NOTICE | ITEM | ENDED) and not c >> SEGMENTS:
                 shared = i
         elif c & (PROSE | LONG):
             body_begins()

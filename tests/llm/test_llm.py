@@ -131,6 +131,22 @@ def test_pages(spark):
     assert pages.boilerplate(p.limit(0)).count() == 0 and pages.residue(p.limit(0)).count() == 0
 
 
+def test_long_notices_are_templates_too(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6)).capitalize()
+    prose = lambda: " ".join(f"{word()} said that {word()} went to {word()} before the {word()} came back home again." for _ in range(5))
+    notice = "We and our partners keep data on your device to measure how our pages are used. " * 5 + "You can change your choice at any time."
+    many = " ".join(f"Partner {w} of this paper may keep your choice." for w in ("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)))
+    p = spark.createDataFrame([("t", f"k{i}", f"http://paper-{i % 3}.example/{i}", "\n".join([f"{word()} at {word()}", "2024-01-02", prose(), notice, prose(), many])) for i in range(30)], "tbl string, page_key string, url string, text string")
+    assert len(notice) > pages.PARAGRAPH
+    got = defaultdict(set)
+    for r in pages.boilerplate(p).collect():
+        got[r["page_key"]].add(r["line_no"])
+    assert got == {f"k{i}": {3, 5} for i in range(30)}
+    mixed = spark.createDataFrame([(*r[:3], r[3].replace(notice, notice + (" This page is kept by the editors of the evening desk." if i % 2 else ""))) for i, r in enumerate(p.collect())], p.schema)
+    assert {r["line_no"] for r in pages.boilerplate(mixed).collect()} == {3, 5}
+
+
 def test_passed_on(spark):
     df = spark.createDataFrame([(1, "u", True, "a", None, None), (2, "u", False, "", "e", "d"), (3, "u", False, "", "e", None), (4, "u", None, None, None, "d"), (5, "u", True, "", "x", None)], "crawl_id bigint, url string, accessible boolean, url_content string, error string, published_date string")
     assert rows(pages.passed_on(df).select("page_key", "text")) == [("1", "a"), ("2", "e"), ("5", "x")]
