@@ -16,12 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parallel import spread
-from .common import cut, h64, read, signed, site
+from .common import cut, h64, mix, read, signed, site
+from .neardup import components, permutations
 
-#: Distinct pages that make a path a template: paths of up to SHORT characters, and longer ones (near-equal copies of an article are fewer).
+#: Distinct bodies that make a path a template: paths of up to SHORT characters, and longer ones. Near-equal copies of an article are one body.
 SUPPORT_SHORT, SUPPORT_LONG, SHORT = 8, 14, 60
 #: A line longer than this is prose by its length unless its path, or those of all its sentences, are templates; phrases don't decide on it.
 PARAGRAPH = 300
+#: Sentences of prose a page needs to be a copy of another (error pages are alike, too, and have fewer), and the share of all of theirs that two copies have in common.
+LEAST_BODY, COPIES = 5, 0.3
+#: Least hashes kept of the sentences of a page; bands of ROWS of them under permutations name the pages to compare.
+BODY, ROWS, BANDS = 64, 2, 16
+#: Sentences (those of the least hashes) that stand for a line in its page's body, so that a long notice doesn't make pages alike.
+PER_LINE = 4
 #: Supported paths up to this number are broadcast (8 bytes each), beyond it they are joined to their pages.
 BROADCAST = 2_000_000
 
@@ -103,8 +110,10 @@ def host_words(name: str) -> str:
 REMEMBERED = 200_000
 
 
-def scan(text: str, host: str, memo: dict | None = None) -> tuple[list[int], list[int], int, int]:
-    """Per line a code and its hashes (in order: line, prefix, segments); then the numbers of unfilled slots and of filler words of the page."""
+def scan(text: str, host: str, memo: dict | None = None) -> tuple[list[int], list[int], int, int, set[int]]:
+    """Per line a code and its hashes (in order: line, prefix, segments); then the numbers of unfilled slots and of filler words of the page and
+    the hashes of its sentences of prose, none where it looks like an error page.
+    """
     codes: list[int] = []
     hashes: list[int] = []
     slots = filler = 0
@@ -114,6 +123,7 @@ def scan(text: str, host: str, memo: dict | None = None) -> tuple[list[int], lis
     latin = sum(x in low for x in _FILLER_SIGNS) >= 3
     program = any(x in low for x in _PROGRAM_SIGNS)
     plain, prose = [], 0
+    body: set[int] = set()
     for line in text.split("\n"):
         short = len(line) <= 120
         if short and (got := memo.get((host, line))) is not None:
@@ -133,6 +143,8 @@ def scan(text: str, host: str, memo: dict | None = None) -> tuple[list[int], lis
         if code & PROSE and not code & FILLER:
             prose += 1
             plain.append(len(codes))
+            if not code & (PROGRAM | LINK | TOPIC | NOTICE | META):
+                body.update(sorted(own[-(code >> SEGMENTS) :])[:PER_LINE] if code >> SEGMENTS else own[:1])
         codes.append(code)
         hashes += own
     if prose <= 3:
@@ -140,7 +152,8 @@ def scan(text: str, host: str, memo: dict | None = None) -> tuple[list[int], lis
         for i in plain:
             if not codes[i] & LONG and _ERROR.search(lines[i]):
                 codes[i] |= ERROR
-    return codes, hashes, slots, filler
+                body = set()
+    return codes, hashes, slots, filler, body
 
 
 def _scan_line(line: str, host: str, signs: bool, program: bool) -> tuple[int, list[int], int]:
@@ -216,17 +229,21 @@ def _hash(key: str, n: int) -> int:
 
 
 def page_paths(pages: DataFrame) -> DataFrame:
-    """pages (tbl, page_key, url, text) -> (tbl, page_key, page, codes, hashes, slots, filler), one row per page.
+    """pages (tbl, page_key, url, text) -> (tbl, page_key, page, codes, hashes, slots, filler, body, bands), one row per page.
 
     Texts are read line by line as they are; extracted pages have no tags. Where one key comes with two texts the greater row counts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
+        perms = permutations(ROWS * BANDS)
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("codes", "hashes", "slots", "filler")}
+            out: dict[str, list] = {c: [] for c in ("codes", "hashes", "slots", "filler", "body", "bands")}
             for s, t in zip(b["site"], b["text"]):
-                codes, hashes, slots, filler = scan(t, host_words(s), memo)
+                codes, hashes, slots, filler, sentences = scan(t, host_words(s), memo)
+                body = np.sort(mix(np.array(list(sentences), np.uint64)))[:BODY] if len(sentences) >= LEAST_BODY else np.empty(0, np.uint64)
+                out["body"].append(signed(body))
+                out["bands"].append(signed(bands(body, perms)))
                 out["codes"].append(np.array(codes, np.int64))
                 out["hashes"].append(signed(np.array(hashes, np.uint64)))
                 out["slots"].append(slots)
@@ -234,13 +251,39 @@ def page_paths(pages: DataFrame) -> DataFrame:
             yield b[["tbl", "page_key", "page"]].assign(**out)
 
     rows = pages.filter("page_key IS NOT NULL AND text IS NOT NULL").select("tbl", "page_key", F.xxhash64(F.lower(F.coalesce("url", "page_key"))).alias("page"), site(F.col("url")).alias("site"), "text")
-    got = spread(rows).mapInPandas(run, "tbl string, page_key string, page bigint, codes array<bigint>, hashes array<bigint>, slots int, filler int")
-    return got.groupBy("tbl", "page_key").agg(F.max(F.struct("page", "codes", "hashes", "slots", "filler")).alias("p")).select("tbl", "page_key", "p.*")
+    got = spread(rows).mapInPandas(run, "tbl string, page_key string, page bigint, codes array<bigint>, hashes array<bigint>, slots int, filler int, body array<bigint>, bands array<bigint>")
+    return got.groupBy("tbl", "page_key").agg(F.max(F.struct("page", "codes", "hashes", "slots", "filler", "body", "bands")).alias("p")).select("tbl", "page_key", "p.*")
+
+
+def bands(body: np.ndarray, perms: np.ndarray) -> np.ndarray:
+    """Names of the bands of a body: ROWS minima under permutations each."""
+    if not len(body):
+        return body
+    h = body * perms
+    low = (h ^ (h >> np.uint64(29))).min(axis=1).reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
+    return out
+
+
+def copies(paths: DataFrame) -> DataFrame:
+    """(page, root): the pages that have near-equal copies, each with the least page of its class.
+
+    Pages with a common band are compared with the least of them, so a class that holds a third of all pages costs no more than its rows. Pages
+    that share a notice only meet in a band, too, but have too little in common.
+    """
+    named = paths.select("page", "body", F.explode("bands").alias("band"))
+    heads = named.groupBy("band").agg(F.min_by("body", "page").alias("head_body"), F.min("page").alias("head"), F.max("page").alias("last")).filter("head < last").drop("last")
+    both = F.size(F.array_intersect("body", "head_body"))
+    alike = named.join(heads, "band").filter("page <> head").filter(both >= COPIES * (F.size("body") + F.size("head_body") - both)).select(F.col("head").alias("a"), F.col("page").alias("b")).distinct()
+    return components(cut(alike, "copies")).select(F.col("node").alias("page"), "root")
 
 
 def supported(paths: DataFrame) -> DataFrame:
-    """(path): the templates that enough distinct pages share."""
-    seen = paths.select("page", F.explode("hashes").alias("path")).distinct()
+    """(path): the templates that enough distinct bodies share; pages that are near-equal copies of each other count once."""
+    one = paths.select("page", "hashes").join(copies(paths), "page", "left").withColumn("page", F.coalesce("root", "page"))
+    seen = one.select("page", F.explode("hashes").alias("path")).distinct()
     return seen.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") >= F.when(F.col("path").bitwiseAND(F.lit(1)) == 1, SUPPORT_LONG).otherwise(SUPPORT_SHORT)).select("path")
 
 

@@ -147,6 +147,28 @@ def test_long_notices_are_templates_too(spark):
     assert {r["line_no"] for r in pages.boilerplate(mixed).collect()} == {3, 5}
 
 
+def test_copies_of_an_article_are_one_body(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6)).capitalize()
+    said = lambda: f"{word()} said that {word()} went to {word()} before the {word()} came back home again."
+    article = [[said() for _ in range(2)] for _ in range(6)]
+    out = []
+    for i in range(60):
+        if i < 25:
+            text = [[*x] for x in article]
+            text[rng.randrange(6)][rng.randrange(2)] = said()
+            lines_ = ["Mill at the old river reopens", *(" ".join(x) for x in text[:3]), "What comes next", *(" ".join(x) for x in text[3:])]
+        else:
+            lines_ = [f"{word()} at {word()}", *(f"{said()} {said()}" for _ in range(6)), "Send us what you saw at the river and we will look at it."]
+        out.append(("t", f"k{i}", f"http://paper-{i % 5}.example/{i}", "\n".join(lines_)))
+    out += [("t", f"e{i}", f"http://paper-{i % 5}.example/e{i}", "This page was not found on the server, please go back to the start.") for i in range(20)]
+    p = spark.createDataFrame(out, "tbl string, page_key string, url string, text string")
+    assert {r["page_key"] for r in pages.residue(p).collect()} == {f"e{i}" for i in range(20)}
+    got = {(r["page_key"], r["line_no"]) for r in pages.boilerplate(p).collect()}
+    assert got == {(f"k{i}", 7) for i in range(25, 60)}
+    assert {r["page_key"] for r in pages.main_body(p).filter("body IS NULL").collect()} == {f"e{i}" for i in range(20)}
+
+
 def test_passed_on(spark):
     df = spark.createDataFrame([(1, "u", True, "a", None, None), (2, "u", False, "", "e", "d"), (3, "u", False, "", "e", None), (4, "u", None, None, None, "d"), (5, "u", True, "", "x", None)], "crawl_id bigint, url string, accessible boolean, url_content string, error string, published_date string")
     assert rows(pages.passed_on(df).select("page_key", "text")) == [("1", "a"), ("2", "e"), ("5", "x")]
