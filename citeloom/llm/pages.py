@@ -23,6 +23,8 @@ from .neardup import components, permutations
 SUPPORT_SHORT, SUPPORT_LONG, SHORT = 8, 14, 60
 #: A line longer than this is prose by its length unless its path, or those of all its sentences, are templates; phrases don't decide on it.
 PARAGRAPH = 300
+#: A line too long for one phrase to decide is an error page or program output with a phrase of such for every so many characters.
+PER_SIGN = 200
 #: Sentences of prose a page needs to be a copy of another (error pages are alike, too, and have fewer), and the share of all of theirs that two copies have in common.
 LEAST_BODY, COPIES = 5, 0.3
 #: Least hashes kept of the sentences of a page; bands of ROWS of them under permutations name the pages to compare.
@@ -62,6 +64,9 @@ _ERROR = re.compile(
     r"javascript|enable scripts?|scripting must|scripts and cookies|\b(?:http|error|fehler|erreur|errore|erro|nginx|apache)\W{0,2}\d{3}\b|\b\d{3} (?:not found|forbidden|bad gateway|service|gateway|internal|too many|gone|moved)|page not found|page you(?:'re| are) looking for|no longer (?:exists|available)|was not found on this server|access denied|forbidden|session has expired|checking your browser|not a robot|temporarily unavailable|unavailable|bad gateway|too many requests|database connection|seite nicht gefunden|nicht (?:mehr )?verfügbar|zugriff verweigert|page (?:introuvable|non trouvée)|accès (?:refusé|interdit)|indisponible|no encontrad[ao]|ya no existe|acceso denegado|no disponible|pagina non trovata|accesso negato|non disponibile|página não encontrada|acesso negado|indisponível|niet gevonden|toegang geweigerd|niet beschikbaar|страница не найдена|доступ запрещ|недоступн|включите|页面不存在|未找到|拒绝访问|启用|loading\b|out of date|navigateur|navegador|browser\b|\bscripts\b|браузер|浏览器|脚本|skripten?\b|serverfehler|erreur interne|error interno|errore interno|erro interno|interne (?:server)?fout|link (?:may|ist|est|può|kan)|enlace|one more step|home ?page|retour à l'accueil|hosting provider|ip address|typing mistakes|try (?:again|searching)|veuillez réessayer|más tarde|mais tarde|più tardi|plus tard|später|probeer het later|позже|稍后|looking for",
     re.I,
 )
+# program output that has been run into one line, and what no sentence begins with
+_FLAT = re.compile(r"traceback \(most recent|\bfile \"[^\"]+\", line \d+|\b\w*(?:error|exception): |fatal error|\bwarning: |sqlstate\[|https?connectionpool|\b\d{3} (?:client|server) error|connection aborted|undefined variable|\[object object\]|\.php(?:\(\d+\)| on line)|\bat [\w.$<>]+\([\w.]+:\d+\)|remotedisconnected|segmentation fault|stack trace|\bnan undefined\b|<\/?noscript>", re.I)
+_STARTS = re.compile(r"traceback \(most recent|(?:php )?fatal error: |sqlstate\[|https?connectionpool|\d{3} (?:client|server) error|segmentation fault|<noscript>", re.I)
 #: Slots left with their variable: braces, tags, percent signs, dollar signs, underscores, hashes or brackets round a name, or a demand to fill it.
 _PLACE = re.compile(
     r"\{\{[^{}\n]{1,40}\}\}|\{%[^\n]{1,60}?%\}|<%[^\n]{1,60}?%>|\$\{[^}\n]{1,40}\}|\[\[[\w. ]{1,40}\]\]|%%[\w. ]{1,40}%%|(?<!\w)__[A-Z][A-Z_.]*__(?!\w)|(?<!\w)#[A-Z][A-Z_.]+#|(?<![\w{])\{[a-z]\w*(?:\.\w+)*\}(?!\})|<[A-ZÀ-Ý][A-ZÀ-Ý_. ]{1,30}>|(?i:\[(?:your|ihr|ihre|votre|su|sus|tu|il tuo|la tua|uw|seu|sua|ваш\w*|您的)\b[^\]\n]{0,30}\])|(?i:\[(?:insert|insérer|insertar|inserire|inserir|hier|вставьте|вставить|插入|请填写)[^\]\n]{0,40}\])|(?i:\[[^\]\n]{2,30} (?:folgt|à venir|pendiente|here|volgt|da inserire|in arrivo|a inserir|goes here|einfügen|einsetzen|invoegen|следует)\])|\bTODO: (?:add|insert|write|fill)\b|%\([a-z_]+\)s|\{\d\}"
@@ -150,12 +155,19 @@ def scan(text: str, host: str, memo: dict | None = None) -> tuple[list[int], lis
     if prose <= 3:
         lines = text.split("\n")
         for i in plain:
-            if not codes[i] & LONG and _ERROR.search(lines[i]):
+            if _errors(lines[i]) if codes[i] & LONG else _ERROR.search(lines[i]):
                 codes[i] |= ERROR
                 body = set()
     return codes, hashes, slots, filler, body
 
 
+def _errors(line: str) -> bool:
+    """Whether a long line is an error page as a whole: its words stand in most of its text, not in a sentence or two of an article."""
+    n = len(line.strip())
+    hit = [len(x) for x in _SENT.split(line.strip()) if _ERROR.search(x)]
+    return sum(hit) >= 0.6 * n and PER_SIGN * sum(1 for _ in _ERROR.finditer(line)) >= n
+
+
 def _scan_line(line: str, host: str, signs: bool, program: bool) -> tuple[int, list[int], int]:
     s = line.strip()
     n, code, slots = len(s), 0, 0
@@ -165,7 +177,7 @@ def _scan_line(line: str, host: str, signs: bool, program: bool) -> tuple[int, l
             if not _MENTION.search(s, max(0, m.start() - 90), m.start()):
                 code |= PLACE
                 slots += 1
-    if program and n <= 400 and _PROGRAM.search(s):
+    if program and (_PROGRAM.search(s) if n <= 400 else _STARTS.match(s) or PER_SIGN * sum(1 for _ in _FLAT.finditer(s)) >= n):
         code |= PROGRAM
     if not _ANY.search(s):
         return code or EMPTY, own, slots
@@ -308,7 +320,7 @@ def judge(codes: list[int], hashes: list[int], known: set[int], slots: int, fill
         if not c & META:
             template_line[i] = own or prefixed or bool(parts)
         if c & PROSE and not template_line[i] and not c & (FILLER | PROGRAM | LINK | TOPIC | NOTICE | META):
-            if c & ERROR and not c & LONG:
+            if c & ERROR:
                 errors += 1
             else:
                 prose += 1

@@ -169,6 +169,22 @@ def test_copies_of_an_article_are_one_body(spark):
     assert {r["page_key"] for r in pages.main_body(p).filter("body IS NULL").collect()} == {f"e{i}" for i in range(20)}
 
 
+def test_residue_in_one_long_line(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6)).capitalize()
+    prose = lambda: " ".join(f"{word()} said that {word()} went to {word()} before the {word()} came back home again." for _ in range(5))
+    frames = " ".join(f'File "/srv/app/{word()}.py", line {i}, in {word()} return self.{word()}(request)' for i in range(6))
+    error = "403 Forbidden. Access denied: your browser sent a request that this server could not accept. Please enable JavaScript and cookies to continue. Checking your browser before you reach the page you are looking for. If the page is temporarily unavailable, please try again later. This session has expired or the page was not found on this server."
+    consent = "We keep data on your device so that we and our partners can measure how our pages are used and what you care for. " * 3 + "Choose what you agree to before you go on."
+    article = prose() + " The error page of the town said 404 not found, and Voros told readers to try again later. " + prose()
+    trace = prose() + " The log had ValueError: twice, they said. " + prose()
+    out = [("trace", "Traceback (most recent call last): " + frames + " KeyError: 'title'"), ("frames", frames), ("error", error), ("article", article), ("mention", trace)]
+    out += [(f"c{i}", consent) for i in range(20)]
+    assert all(len(t) > 300 for _, t in out) and len(frames) > 400
+    p = spark.createDataFrame([("t", k, f"http://{k}.example/1", t) for k, t in out], "tbl string, page_key string, url string, text string")
+    assert {r["page_key"] for r in pages.residue(p).collect()} == {"trace", "frames", "error", *(f"c{i}" for i in range(20))}
+
+
 def test_passed_on(spark):
     df = spark.createDataFrame([(1, "u", True, "a", None, None), (2, "u", False, "", "e", "d"), (3, "u", False, "", "e", None), (4, "u", None, None, None, "d"), (5, "u", True, "", "x", None)], "crawl_id bigint, url string, accessible boolean, url_content string, error string, published_date string")
     assert rows(pages.passed_on(df).select("page_key", "text")) == [("1", "a"), ("2", "e"), ("5", "x")]
