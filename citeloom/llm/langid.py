@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parallel import spread
 from .common import bounded_sample, cut, read
-from .pages import corpus_pages, needs_residue_check, residue
+from .pages import corpus_pages, residue
 
 ORDER, DISCOUNT = 4, 0.75
 #: Bits of one symbol in a packed n-gram; at most 2**BITS - 1 symbols, the rest count as unknown.
@@ -310,8 +310,7 @@ def relabelled(df: DataFrame, models: Models, key: str = "_id", text: str = "tex
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = read(spark, sf_dir, "corpus")
     found = relabelled(corpus, fit(read(spark, sf_dir, "lang_samples")))
-    doubtful = corpus_pages(corpus).filter(needs_residue_check(F.col("text")))
-    bad = cut(residue(doubtful), "residue").select(F.col("page_key").alias("_id"))
+    bad = cut(residue(corpus_pages(corpus)), "residue").select(F.col("page_key").alias("_id"))
     return found.join(bad, "_id", "left_anti")
 
 

@@ -185,6 +185,23 @@ def test_residue_in_one_long_line(spark):
     assert {r["page_key"] for r in pages.residue(p).collect()} == {"trace", "frames", "error", *(f"c{i}" for i in range(20))}
 
 
+def test_residue_of_the_corpus_rests_on_all_its_pages(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6)).capitalize()
+    prose = lambda: " ".join(f"{word()} said that {word()} went to {word()} before the {word()} came back home again." for _ in range(6))
+    notice = "The editors of the evening desk keep this page for the readers of the town. The readers said that the town went home before the editors came back again."
+    out = [(f"http://a.example/{i}", f"{prose()}\n{notice}", "xx") for i in range(30)] + [("http://a.example/bare", notice, "xx")]
+    spark.createDataFrame(out, "_id string, text string, lang string").write.parquet(f"{tmp_path}/corpus.parquet")
+    samples = [("en", "The editors said that the town went to the river before the readers came back home again."), ("de", "Der Verein sagte, dass die Stadt vor dem Abend wieder zum Fluss gehen soll und dort bleibt.")]
+    spark.createDataFrame(samples, "lang string, text string").write.parquet(f"{tmp_path}/lang_samples.parquet")
+    bad = {r["page_key"] for r in pages.residue(pages.corpus_pages(spark.read.parquet(f"{tmp_path}/corpus.parquet"))).collect()}
+    assert bad == {"http://a.example/bare"}
+    samples = spark.read.parquet(f"{tmp_path}/lang_samples.parquet")
+    loose = {r["_id"] for r in langid.relabelled(spark.read.parquet(f"{tmp_path}/corpus.parquet"), langid.fit(samples)).collect()}
+    found = {r["_id"] for r in langid.p5_found(spark, str(tmp_path)).collect()}
+    assert bad <= loose and found == loose - bad
+
+
 def test_passed_on(spark):
     df = spark.createDataFrame([(1, "u", True, "a", None, None), (2, "u", False, "", "e", "d"), (3, "u", False, "", "e", None), (4, "u", None, None, None, "d"), (5, "u", True, "", "x", None)], "crawl_id bigint, url string, accessible boolean, url_content string, error string, published_date string")
     assert rows(pages.passed_on(df).select("page_key", "text")) == [("1", "a"), ("2", "e"), ("5", "x")]
