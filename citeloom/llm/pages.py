@@ -80,6 +80,7 @@ LOREM = frozenset(
 )
 
 _DIGITS, _OTHER = re.compile(r"[0-9]+"), re.compile(r"[^\w]+|_+")
+_SIGNS = re.compile(r"[^\w\s]+|_+")
 _DIGIT = re.compile(r"[0-9]")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
 _ANY = re.compile(r"[^\W_]")
@@ -101,7 +102,7 @@ def template(s: str, host: str) -> str:
     s = s.lower()
     if _DIGIT.search(s):
         s = _DIGITS.sub("0", _HEX.sub("0", s))
-    s = _OTHER.sub(" ", s).strip()
+    s = " ".join(_SIGNS.sub(" ", s).split())
     return s.replace(host, "§") if host else s
 
 
@@ -182,11 +183,11 @@ def _scan_line(line: str, host: str, signs: bool, program: bool) -> tuple[int, l
     if not _ANY.search(s):
         return code or EMPTY, own, slots
     if n > PARAGRAPH:
-        key = template(s.strip(_OUTER), host)
+        keys = [k for x in _SENT.split(s.strip(_OUTER)) if (k := template(x, host))]
+        key = " ".join(keys)
         if key:
             code |= HAS_KEY
             own.append(_hash(key, len(key)))
-            keys = [k for x in _SENT.split(s.strip(_OUTER)) if (k := template(x, host))]
             if len(keys) > 1:
                 code |= len(keys) << SEGMENTS
                 own += [_hash(k, len(k)) for k in keys]
@@ -285,10 +286,13 @@ def copies(paths: DataFrame) -> DataFrame:
     Pages with a common band are compared with the least of them, so a class that holds a third of all pages costs no more than its rows. Pages
     that share a notice only meet in a band, too, but have too little in common.
     """
-    named = paths.select("page", "body", F.explode("bands").alias("band"))
-    heads = named.groupBy("band").agg(F.min_by("body", "page").alias("head_body"), F.min("page").alias("head"), F.max("page").alias("last")).filter("head < last").drop("last")
-    both = F.size(F.array_intersect("body", "head_body"))
-    alike = named.join(heads, "band").filter("page <> head").filter(both >= COPIES * (F.size("body") + F.size("head_body") - both)).select(F.col("head").alias("a"), F.col("page").alias("b")).distinct()
+    named = paths.select("page", F.explode("bands").alias("band"))
+    heads = named.groupBy("band").agg(F.min("page").alias("head"), F.max("page").alias("last")).filter("head < last").drop("last")
+    pairs = named.join(heads, "band").filter("page <> head").select(F.col("head").alias("a"), F.col("page").alias("b")).distinct()
+    bodies = paths.filter("size(body) > 0")
+    first, second = bodies.select(F.col("page").alias("a"), F.col("body").alias("x")), bodies.select(F.col("page").alias("b"), F.col("body").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = pairs.join(first, "a").join(second, "b").filter(both >= COPIES * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
     return components(cut(alike, "copies")).select(F.col("node").alias("page"), "root")
 
 
