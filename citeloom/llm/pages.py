@@ -130,6 +130,7 @@ def scan(text: str, host: str, memo: dict | None = None) -> tuple[list[int], lis
     program = any(x in low for x in _PROGRAM_SIGNS)
     plain, prose = [], 0
     body: set[int] = set()
+    before = ""
     for line in text.split("\n"):
         short = len(line) <= 120
         if short and (got := memo.get((host, line))) is not None:
@@ -141,6 +142,11 @@ def scan(text: str, host: str, memo: dict | None = None) -> tuple[list[int], lis
                     memo.clear()
                 memo[host, line] = code, own, k
         slots += k
+        if code & PLACE and not k:
+            # a default alone on its line; a list of such below a sentence about placeholders is none
+            slots += not _MENTION.search(before)
+        elif not code & EMPTY:
+            before = line
         if latin and not code & EMPTY:
             words = _WORD.findall(line.lower())
             if len(words) >= 5 and sum(w in LOREM for w in words) >= 0.7 * len(words):
@@ -412,7 +418,7 @@ def corpus_pages(corpus: DataFrame) -> DataFrame:
 def residue(pages: DataFrame) -> DataFrame:
     """(tbl, page_key) of the pages (tbl, page_key, url, text) that are residue.
 
-    Residue is a page with a slot left unfilled (unless the sentence writes about placeholders), with filler, or without any prose of its
+    Residue is a page with a slot left unfilled or with its default (unless the sentence writes about placeholders), with filler, or without any prose of its
     own: all its lines belong to templates that other pages share (menus, error pages, calls for scripts), or are program output.
     Null keys and null or empty texts are never residue. A page delivered twice counts once.
     """

@@ -202,6 +202,13 @@ def test_residue_of_the_corpus_rests_on_all_its_pages(spark, tmp_path):
     assert bad <= loose and found == loose - bad
 
 
+def test_default_left_in_an_article(spark):
+    prose = "The council said that the mill at the old river would open again before the summer. " * 5
+    texts = {"default": f"Sample title\n{prose}\n{prose}", "mention": f"{prose}\nA template comes with a placeholder for each part:\nSample title\n- Section name\n{prose}", "plain": f"{prose}\n{prose}"}
+    p = spark.createDataFrame([("t", k, f"http://{k}.example/1", t) for k, t in texts.items()], "tbl string, page_key string, url string, text string")
+    assert {r["page_key"] for r in pages.residue(p).collect()} == {"default"}
+
+
 def test_passed_on(spark):
     df = spark.createDataFrame([(1, "u", True, "a", None, None), (2, "u", False, "", "e", "d"), (3, "u", False, "", "e", None), (4, "u", None, None, None, "d"), (5, "u", True, "", "x", None)], "crawl_id bigint, url string, accessible boolean, url_content string, error string, published_date string")
     assert rows(pages.passed_on(df).select("page_key", "text")) == [("1", "a"), ("2", "e"), ("5", "x")]
