@@ -23,10 +23,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor can read: spark.checkpoint.dir. Where that is unset a temporary one serves a local session; on a cluster it raises."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _scratch:
         _scratch.append(tempfile.mkdtemp(prefix="citeloom-"))
         atexit.register(shutil.rmtree, _scratch[0], True)
@@ -45,14 +47,24 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that cut() wrote; call it once results that read them have been stored."""
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _paths.pop(id(spark.sparkContext), []):
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """Paths that cut() has written in this session and that were not deleted, oldest first."""
+    return _paths.setdefault(id(spark.sparkContext), [])
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that cut() wrote; call it once results that read them have been stored."""
+    drop(spark, _paths.pop(id(spark.sparkContext), []))
+
+
 def site(url: Column) -> Column:
     """Host in lower case without user, port and a leading www. or m.; '' where there is none."""
     host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^\s*[a-z][a-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#\s]+)", 1)
@@ -110,7 +122,11 @@ def bounded_sample(df: DataFrame, by: list[str], most: int) -> list:
 
     The rows are filtered where they are, so no task sends more than its share (an ordered limit would send `most` rows of every task).
     """
-    n = df.count()
+    return sample_of(df, by, most, df.count())
+
+
+def sample_of(df: DataFrame, by: list[str], most: int, n: int) -> list:
+    """bounded_sample where the number n of rows is known."""
     h = F.pmod(F.xxhash64(*by), F.lit(1 << 40))
     kept = df.withColumn("_h", h) if n <= most else df.withColumn("_h", h).filter(F.col("_h") < int(most / n * (1 << 40)))
     return sorted(kept.collect(), key=lambda r: (r["_h"], *(str(r[c]) for c in by)))[:most]

@@ -67,8 +67,8 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     return out
 
 
-def ranked(items: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """A column `rank` from 0 within `by`, without one task per group: ranks within salted parts plus the sizes of the parts before."""
+def numbered(items: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """A column `rank` that numbers the rows of each `by` from 0, in the order of `order` only within 256 salted parts, so that no group is one task."""
     salt = F.pmod(F.xxhash64(*order), F.lit(256)).cast("int")
     rows = items.withColumn("_salt", salt)
     sizes = rows.groupBy(*by, "_salt").agg(F.count("*").alias("_n"))
@@ -82,7 +82,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
 
     Only an item above the capacity is split, into full pieces, each a container of its own, and a rest that is packed like
     an item. Null and empty texts have 0 tokens and go to container 0. A key that occurs more than once is packed once,
-    by its greatest size; rows with a null key are packed under it like any other. The driver sees a histogram of at most
+    by its greatest size, and so are all rows with a null key together. The driver sees a histogram of at most
     `capacity` lengths; items are matched to the plan by length and rank.
     """
     amount = n_tokens(F.col(f"`{text}`"), tokenizer) if size is None else F.greatest(F.coalesce(F.col(f"`{size}`").cast("int"), F.lit(0)), F.lit(0))
@@ -101,13 +101,13 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     spark = df.sparkSession
     steps = spark.createDataFrame(pd.DataFrame(plan or [(0, 0, 0, 1, 0)], columns=["rest", "lo", "hi", "per", "first"]).astype(np.int64), "rest bigint, lo bigint, hi bigint, per bigint, first bigint")
     by_rest = steps.groupBy("rest").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "per", "first"))).alias("steps"))
-    rests = ranked(items.select("k", rest.cast("bigint").alias("rest"), full.alias("piece_no")).filter("rest > 0"), ["rest"], ["k"])
+    rests = numbered(items.select("k", rest.cast("bigint").alias("rest"), full.alias("piece_no")).filter("rest > 0"), ["rest"], ["k"])
     # at most `capacity` rows of intervals: a proven bound for the broadcast
     placed = rests.join(F.broadcast(by_rest), "rest").withColumn("s", F.element_at(F.filter("steps", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"])), 1))
     packed = placed.select("k", "piece_no", F.col("rest").cast("int").alias("n_tokens"), (F.col("s.first") + F.floor((F.col("rank") - F.col("s.lo")) / F.col("s.per"))).cast("bigint").alias("container"))
     empty = items.filter("total = 0").select("k", F.lit(0).alias("piece_no"), F.lit(0).alias("n_tokens"), F.lit(0).cast("bigint").alias("container"))
     wide = items.select("k", full.alias("full")).filter("full > 0")
-    pieces = ranked(wide.select("k", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece_no")).withColumn("g", F.lit(0)), ["g"], ["k", "piece_no"])
+    pieces = numbered(wide.select("k", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece_no")).withColumn("g", F.lit(0)), ["g"], ["k", "piece_no"])
     whole = pieces.select("k", "piece_no", F.lit(capacity).alias("n_tokens"), (F.col("rank") + at).cast("bigint").alias("container"))
     return packed.unionByName(empty).unionByName(whole).withColumnRenamed("k", key)
 
@@ -116,11 +116,21 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, placed): for every document whether its pieces are whole: numbered from 0, none but the last under the capacity, in containers within the capacity."""
+    packed = cut(pack(read(spark, sf_dir, "documents")), "packed")
+    fill = packed.groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    over = packed.join(fill.filter(F.col("fill") > CAPACITY), "container").select("doc_id").distinct().withColumn("over", F.lit(True))
+    each = packed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("piece_no").alias("last"), F.sum((F.col("n_tokens") < CAPACITY).cast("int")).alias("parts"))
+    ok = (F.col("n") == F.col("last") + 1) & (F.col("parts") <= 1) & F.col("over").isNull()
+    return each.join(over, "doc_id", "left").select("doc_id", ok.alias("placed"))
+
+
 def p7_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers used, tokens, the least number possible and the share of space left unused."""
     each = pack(read(spark, sf_dir, "documents")).groupBy("container").agg(F.sum("n_tokens").alias("t"))
     return each.agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.ceil(F.sum("t") / CAPACITY).alias("least"), F.max("t").alias("fullest"), F.round(1 - F.sum("t") / (F.count("*") * CAPACITY), 6).alias("unused"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_fill_report": p7_fill_report}
-SQL: dict = {}
+QUERIES = {"p7_containers": p7_containers, "p7_fill_report": p7_fill_report, "p7_checked": p7_checked}
+SQL = {"p7_checked": "SELECT DISTINCT doc_id, true AS placed FROM documents"}

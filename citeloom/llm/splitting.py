@@ -126,5 +126,16 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(read(spark, sf_dir, "corpus"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
-SQL = {"p1_found": "SELECT DISTINCT _id FROM corpus WHERE length(text) > 6000"}
+def p1_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(_id, is_cut, within, digest): whether the text was cut, whether all pieces are within the limit, and the digest of what they give when joined without overlaps."""
+    pieces = split_oversized(read(spark, sf_dir, "corpus"))
+    own = F.struct("piece_no", F.expr("substring(piece, overlap_chars + 1)").alias("body"))
+    each = pieces.groupBy("_id").agg(F.sort_array(F.collect_list(own)).alias("p"), F.max(F.length("piece")).alias("longest"), F.max("n_pieces").alias("n_pieces"))
+    return each.select("_id", (F.col("n_pieces") > 1).alias("is_cut"), (F.col("longest") <= LIMIT).alias("within"), F.md5(F.array_join(F.transform("p", lambda x: x["body"]), "")).alias("digest"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rebuilt": p1_rebuilt}
+SQL = {
+    "p1_found": "SELECT DISTINCT _id FROM corpus WHERE length(text) > 6000",
+    "p1_rebuilt": "SELECT _id, max(length(text)) > 6000 AS is_cut, true AS within, md5(min(text)) AS digest FROM corpus WHERE text IS NOT NULL GROUP BY _id",
+}

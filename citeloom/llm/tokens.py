@@ -16,8 +16,6 @@ FOLDER = "/opt/tokenizers"
 NAMES = ("cl100k_base.tiktoken", "byte_bpe_multi_50k.tiktoken")
 #: Splits words, numbers of up to three digits, punctuation and blanks before merging (fixed values, the published pattern).
 PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
-#: A run of text without a boundary is encoded in stretches of this many characters, which keeps merging linear.
-STRETCH = 100_000
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -39,8 +37,7 @@ def count_tokens(text: str | None, path: str | None = None) -> int:
     """Tokens of text; 0 for null and empty ones. Strings of special tokens count as ordinary text."""
     if not text:
         return 0
-    enc = encoding(tokenizer_path(path))
-    return sum(len(enc.encode_ordinary(text[i : i + STRETCH])) for i in range(0, len(text), STRETCH))
+    return len(encoding(tokenizer_path(path)).encode_ordinary(text))
 
 
 def n_tokens(text: Column, path: str | None = None) -> Column:
