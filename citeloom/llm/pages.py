@@ -1,14 +1,19 @@
-"""Problems 3 and 4: residue, and the main body of pages, from statistics of line paths over all pages.
+"""Problems 3 and 4: residue, and the main body of pages, from ratios of text and punctuation along paths and from slots induced by alignment.
 
-Extracted pages are lines of text, so the path of a line from the root of its page to the leaf is: page / kind of line (menu, item,
-prose, ...) / template. A template is the line with its slots masked: the name of the site, digits, hexadecimal numbers, case, spacing
-and bullets. Lines of a menu and sentences of a notice are leaves of their own below the line.
+A page is a sequence of lines, and a line stands at the end of a path from the root of its page: tags (where the page still has them) / zone and kind
+of line / template. A template is the line with its slots masked: the name of the site, digits, hexadecimal numbers, case, spacing and bullets.
+Lines of a menu and sentences of a notice are leaves of their own below the line.
+
+Over all pages the length and the punctuation of the text on each path are summed. The ratio of a leaf is the text it says once to the text it fills on all
+pages, smoothed by that of its parent and fused with its punctuation: what is said over and over falls below the threshold. The ratio of the path
+below a heading is the number of bare lines it leads to at each place: headings of link lists lead to many. Tags have the classic ratio,
+text per node, fused with punctuation and the number of nodes a page has.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,69 +24,61 @@ from ..functions.parallel import spread
 from .common import cut, h64, mix, read, signed, site
 from .neardup import components, permutations
 
-#: Distinct bodies that make a path a template: paths of up to SHORT characters, and longer ones. Near-equal copies of an article are one body.
-SUPPORT_SHORT, SUPPORT_LONG, SHORT = 8, 14, 60
-#: A line longer than this is prose by its length unless its path, or those of all its sentences, are templates; phrases don't decide on it.
-PARAGRAPH = 300
-#: A line too long for one phrase to decide is an error page or program output with a phrase of such for every so many characters.
-PER_SIGN = 200
+#: A leaf whose fused ratio is under THRESHOLD belongs to a template. Its parent's ratio counts as much as that of SMOOTH places;
+#: sentences, which copies of an article share, need up to 1 + MARKED times as much repetition as a bare line.
+THRESHOLD, SMOOTH, MARKED = 0.2, 1.0, 0.9
+#: Bare lines that a heading leads to at each place, from which on it heads a list of links; and the most of them that may end like sentences.
+CHILDREN, ENDINGS = 1.5, 0.34
+#: Tags: a path is main body from this fused ratio on; the path above counts as much as TAG_SMOOTH nodes.
+TAG_THRESHOLD, TAG_SMOOTH = 30.0, 3.0
+#: A line is program output if it has a phrase of such for every so many characters.
+PER_SIGN = 400
 #: Sentences of prose a page needs to be a copy of another (error pages are alike, too, and have fewer), and the share of all of theirs that two copies have in common.
 LEAST_BODY, COPIES = 5, 0.3
 #: Least hashes kept of the sentences of a page; bands of ROWS of them under permutations name the pages to compare.
 BODY, ROWS, BANDS = 64, 2, 16
 #: Sentences (those of the least hashes) that stand for a line in its page's body, so that a long notice doesn't make pages alike.
 PER_LINE = 4
-#: Supported paths up to this number are broadcast (8 bytes each), beyond it they are joined to their pages.
+#: Template paths up to this number are broadcast (9 bytes each), beyond it they are joined to their pages.
 BROADCAST = 2_000_000
-
-META, ITEM, PROSE, LINK, TOPIC, LINKHEAD, NOTICE, PLACE, PROGRAM, FILLER, ENDED, EMPTY, HAS_KEY, HAS_PREFIX, LONG, ERROR, WORDY = (1 << i for i in range(17))
-SEGMENTS = 18
-
-# --- fixed values: words of the nine languages that mark kinds of line ---
+#: Alignment: a value is a variable's name if it fills at least so many different templates; a template has a slot if so many such names fill it.
+FILLS, NAMES = 3, 2
+#: A span or a line is a template's default if so many pages have it and at least this share of them has unfilled slots.
+DEFAULT_PAGES, DEFAULT_SHARE = 3, 0.8
+#: Pages whose lines of one skeleton are filled, for a blank in it to be an unfilled slot.
+SKELETON_PAGES = 14
+#: Words of a template that stands in a sentence with others.
+PART = 16
+#: Words of filler that make a page residue.
+FILLER_WORDS = 12
+
+META, ITEM, PROSE, PROGRAM, FILLER, ENDED, EMPTY, HAS_KEY, HAS_PREFIX, WORDY = (1 << i for i in range(10))
+SEGMENTS = 12
+#: Kinds of template paths.
+LEAF, HEAD, DEFAULT, TAG = 0, 1, 2, 3
+
+# --- fixed values: headline data, which are main body though they are alike on many pages ---
 _BYLINE = re.compile(
     r"^(?:by|von|par|por|di|door|od|text(?:o)?:?|автор:?|reporting by)\s+[^.]{3,80}$|^.{3,60}(?:, correspondent|, corresponsal de .+|, correspondente .+|, envoyée? spéciale? de .+|, inviat[oa] (?:di|de) .+|, verslaggever .+| berichtet für .+| bericht voor .+)$|^редакция .+, отдел .+$|^.+编辑部(?:[，,].+)?$|^(?:корреспондент|специально для) .+$|^记者.{2,30}$",
     re.I,
 )
 _DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}\b|\d{4}-\d{2}-\d{2}|\b\d{1,2}[./]\d{1,2}[./]\d{4}\b|\d{4}年\d{1,2}月\d{1,2}日")
 _READING = re.compile(r"^\W*(?:\d+\s*min(?:ute)?s?\s+(?:read|reading|lezen|leestijd)|(?:lesezeit|temps de lecture|tempo di lettura|tempo de leitura|tiempo de lectura|lectura de|leitura de|lettura(?: di)?|leestijd|reading time|время чтения|чтение)\s*:?\s*\d+.{0,12}|\d+\s*(?:minutos?|minuti|minuten|minutes)\s+(?:de |di )?(?:lectura|leitura|lettura|lecture|leestijd|lesezeit)|阅读.{0,8}\d+\s*分钟?.{0,4}|\d+\s*分钟阅读)\W*$", re.I)
-_LINK = re.compile(r"^\W*(?:see (?:more|also)|related|read (?:also|more|next)|more on this|lesen sie auch|lies auch|mehr dazu|siehe auch|voir (?:également|aussi)|lire (?:aussi|également)|à lire aussi|en savoir plus|lea también|lee también|más información|vea también|te puede interesar|leggi anche|vedi anche|per approfondire|per saperne di più|leia (?:também|mais)|veja (?:também|mais)|saiba mais|lees (?:ook|meer|verder)|zie ook|meer lezen|meer hierover|читайте также|смотрите также|подробнее|延伸阅读|相关阅读|另请阅读|阅读更多)\s*[:：]", re.I)
-_TOPIC = re.compile(r"^\W*(?:filed under|topics?|tags?|keywords|themen|schlagwörter|stichwörter|thèmes?|mots-clés|étiquettes|temas|etiquetas|palabras clave|argomenti|parole chiave|palavras-chave|tópicos|onderwerpen|trefwoorden|labels|темы|теги|метки|ключевые слова|主题|标签|关键词)\s*[:：]", re.I)
-_LINKHEAD = re.compile(
-    r"^\W*(?:you may also like|you might also like|related (?:stories|articles|posts)|most (?:read|popular|viewed)|trending(?: on .+| now)?|more from .+|more on this topic|read next|recommended(?: for you)?|das könnte sie auch interessieren|mehr zum thema|mehr aus .+|meistgelesen|am meisten gelesen|auch interessant|à lire aussi|sur le même sujet|les plus lus|à découvrir|vous aimerez aussi|dans la même rubrique|también le puede interesar|le puede interesar|noticias relacionadas|lo más leído|más leídas|más de .+|potrebbe interessart[ei]|(?:ti|le|vi) potrebbe interessare|articoli correlati|i più letti|dello stesso argomento|mais lidas|artigos relacionados|notícias relacionadas|também (?:lhe )?pode interessar|mais de .+|meer over dit onderwerp|meest gelezen|misschien ook interessant|dit vindt u misschien ook interessant|lees ook|gerelateerde artikelen|материалы по теме|самое читаемое|популярное|вам может быть интересно|читайте также|相关报道|相关新闻|最多阅读|您可能还喜欢|您可能也感兴趣|猜你喜欢|热门文章)\W*$",
-    re.I,
-)
-_NOTICE = re.compile(
-    r"\bcookies?\b|файлы cookie|^\W*©|\(c\) \d{4}|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|tutti i diritti riservati|todos os direitos reservados|alle rechten voorbehouden|все права защищены|版权所有|^\W*(?:advertisement|sponsored content|anzeige|werbung|publicité|contenu sponsorisé|publicidad|contenido patrocinado|pubblicità|contenuto sponsorizzato|publicidade|conteúdo patrocinado|advertentie|gesponsorde inhoud|реклама|партнёрский материал|广告|赞助内容|story continues below|article continues below)\W*$|registered office|terms of use|privacy \||impressum|mentions légales|aviso legal|note legali|ficha técnica|colofon|конфиденциальность \||法律声明",
-    re.I,
-)
-# fixed values: prompts that stand alone on a line, and the first step of a path of pages
-_PROMPT = re.compile(
-    r"^\W*(?:(?:home|startseite|accueil|inicio|início|prima pagina|voorpagina|главная|首页)\s*[>»/]\s*[^.]{1,30}|back to top|nach oben|haut de page|volver arriba|torna su|voltar ao topo|naar boven|наверх|返回顶部|\d{1,4} (?:comments|kommentare|commentaires|comentarios|commenti|comentários|reacties)|комментарии: \d+|\d+条评论|(?:share|print|drucken|imprimer|imprimir|stampa|afdrukken|печать|打印)(?:\s*-\s*[^-]{2,14}){2,3}|send to a friend(?: \(\d+\))?|share this article on your favourite network|artikel teilen|partager cet article|compartir esta noticia|condividi questo articolo|partilhar este artigo|deel dit artikel|поделиться статьёй|分享本文|join the conversation - log in to comment|report a comment|download our app|alle angaben ohne gewähr|las opiniones son responsabilidad de sus autores|le opinioni sono degli autori|as opiniões são dos autores|meningen zijn die van de auteur|les propos publiés n'engagent que leurs auteurs|мнение авторов может не совпадать с мнением редакции|文章仅代表作者观点|melden sie sich an, um zu kommentieren|connectez-vous pour réagir|inicie sesión para comentar|accedi per commentare|entre para comentar|log in om te reageren|войдите, чтобы оставить комментарий|登录后发表评论)\W*$",
-    re.I,
-)
-_PROGRAM = re.compile(r"traceback \(most recent|^\s*file \"[^\"]+\", line \d+|\b\w*(?:error|exception): |fatal error|^\s*warning: |sqlstate\[|https?connectionpool|\b\d{3} (?:client|server) error|connection aborted|^content type is |^empty html|undefined variable|\[object object\]|\.php(?:\(\d+\)| on line)|^\s*at [\w.$<>]+\([\w.]+:\d+\)|remotedisconnected|segmentation fault|stack trace|\bnan undefined\b|<\/?noscript>", re.I)
-_ERROR = re.compile(
-    r"javascript|enable scripts?|scripting must|scripts and cookies|\b(?:http|error|fehler|erreur|errore|erro|nginx|apache)\W{0,2}\d{3}\b|\b\d{3} (?:not found|forbidden|bad gateway|service|gateway|internal|too many|gone|moved)|page not found|page you(?:'re| are) looking for|no longer (?:exists|available)|was not found on this server|access denied|forbidden|session has expired|checking your browser|not a robot|temporarily unavailable|unavailable|bad gateway|too many requests|database connection|seite nicht gefunden|nicht (?:mehr )?verfügbar|zugriff verweigert|page (?:introuvable|non trouvée)|accès (?:refusé|interdit)|indisponible|no encontrad[ao]|ya no existe|acceso denegado|no disponible|pagina non trovata|accesso negato|non disponibile|página não encontrada|acesso negado|indisponível|niet gevonden|toegang geweigerd|niet beschikbaar|страница не найдена|доступ запрещ|недоступн|включите|页面不存在|未找到|拒绝访问|启用|loading\b|out of date|navigateur|navegador|browser\b|\bscripts\b|браузер|浏览器|脚本|skripten?\b|serverfehler|erreur interne|error interno|errore interno|erro interno|interne (?:server)?fout|link (?:may|ist|est|può|kan)|enlace|one more step|home ?page|retour à l'accueil|hosting provider|ip address|typing mistakes|try (?:again|searching)|veuillez réessayer|más tarde|mais tarde|più tardi|plus tard|später|probeer het later|позже|稍后|looking for",
-    re.I,
-)
-# program output that has been run into one line, and what no sentence begins with
+# fixed values: forms of program output
 _FLAT = re.compile(r"traceback \(most recent|\bfile \"[^\"]+\", line \d+|\b\w*(?:error|exception): |fatal error|\bwarning: |sqlstate\[|https?connectionpool|\b\d{3} (?:client|server) error|connection aborted|undefined variable|\[object object\]|\.php(?:\(\d+\)| on line)|\bat [\w.$<>]+\([\w.]+:\d+\)|remotedisconnected|segmentation fault|stack trace|\bnan undefined\b|<\/?noscript>", re.I)
-_STARTS = re.compile(r"traceback \(most recent|(?:php )?fatal error: |sqlstate\[|https?connectionpool|\d{3} (?:client|server) error|segmentation fault|<noscript>", re.I)
-#: Slots left with their variable: braces, tags, percent signs, dollar signs, underscores, hashes or brackets round a name, or a demand to fill it.
-_PLACE = re.compile(
-    r"\{\{[^{}\n]{1,40}\}\}|\{%[^\n]{1,60}?%\}|<%[^\n]{1,60}?%>|\$\{[^}\n]{1,40}\}|\[\[[\w. ]{1,40}\]\]|%%[\w. ]{1,40}%%|(?<!\w)__[A-Z][A-Z_.]*__(?!\w)|(?<!\w)#[A-Z][A-Z_.]+#|(?<![\w{])\{[a-z]\w*(?:\.\w+)*\}(?!\})|<[A-ZÀ-Ý][A-ZÀ-Ý_. ]{1,30}>|(?i:\[(?:your|ihr|ihre|votre|su|sus|tu|il tuo|la tua|uw|seu|sua|ваш\w*|您的)\b[^\]\n]{0,30}\])|(?i:\[(?:insert|insérer|insertar|inserire|inserir|hier|вставьте|вставить|插入|请填写)[^\]\n]{0,40}\])|(?i:\[[^\]\n]{2,30} (?:folgt|à venir|pendiente|here|volgt|da inserire|in arrivo|a inserir|goes here|einfügen|einsetzen|invoegen|следует)\])|\bTODO: (?:add|insert|write|fill)\b|%\([a-z_]+\)s|\{\d\}"
+# fixed values: signs that notations of templates put round the name of a variable
+_SPAN = re.compile(
+    r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%[^%\n]{1,60}%>|\$\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|%%[^%\n]{1,60}%%|(?<!\w)__[^\W_][\w.]*?__(?!\w)|(?<!\w)#[^\W\d_][\w.]*#|\{[^{}\n]{1,60}\}|<[^\W\d_][^<>\n/=]{1,60}>|%\([^()\n]{1,60}\)s|\[[^\[\]\n]{1,60}\]|\bTODO:(?: [^\W\d_]+){1,2}"
 )
+# fixed values: words of a sentence that writes about slots
 _MENTION = re.compile(r"placeholder|such as|platzhalter|marcador|espace réservé|segnaposto|espaço reservado|tijdelijke aanduiding|заполнител|占位|so-called|syntax|notation", re.I)
-#: Texts that templates come with (compared without case and outer signs).
-_DEFAULTS = frozenset("header|untitled page|sample title|section name|lead text here|your content goes here|dummy copy, replace before going live|légende à compléter|bildunterschrift ergänzen|título de ejemplo|titolo di esempio|headline here|body text here|caption here|text here|click to edit|insert text|lorem ipsum".split("|"))
 #: The customary filler vocabulary.
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 
-_DIGITS, _OTHER = re.compile(r"[0-9]+"), re.compile(r"[^\w]+|_+")
-_SIGNS = re.compile(r"[^\w\s]+|_+")
-_DIGIT = re.compile(r"[0-9]")
+
+_DIGITS, _OTHER = re.compile(r"[0-9]+"), re.compile(r"[^\w\n\x01]+|_+")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
 _ANY = re.compile(r"[^\W_]")
 _OUTER = " \t|•»·*–-\xa0\r"
@@ -89,115 +86,181 @@ _OUTER = " \t|•»·*–-\xa0\r"
 _FILLER_SIGNS = ("dolor", "ipsum", "aliqu", "eiusmod", "consequat", "incididunt", "exercitation", "cupidatat", "reprehenderit", "adipisc")
 _PROGRAM_SIGNS = ("traceback", "error", "exception", "warning:", "sqlstate", "connectionpool", "file \"", "content type is", "empty html", "undefined", "[object", ".php", "noscript", "remotedisconnected", "segmentation", "stack trace", "connection aborted", "\n  at ", "\n\tat ")
 _SEP = re.compile(r"\s*[|·•»>/]\s*|\s+-\s+|\s{2,}|\t")
-_SENT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+_SENT = re.compile(r"(?<=[.!?…])[^\S\n]+|(?<=[。！？])")
 _PREFIX = re.compile(r"^\W*([^\W\d][^:：\d]{1,30}?)\s?[:：]")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _ENDED = re.compile(r"[.!?。！？…][\"'”’»」)\]]*\s*$")
 _ITEM = re.compile(r"^\s*(?:[•»*\-–·|]|\d{1,2}[.)])\s*")
+_SIGN = re.compile(r"[{<\[$%#]|__|TODO")
+_MARKS = ",.;:!?，。；：！？"
+_BLANK = re.compile(r"\w ,(?=\s|$)|,\s*,|\(\s*\)")
+_NAMES = re.compile(r"[^\W_]+(?:[._][^\W_]+)*")
+_TAGGED = re.compile(r"<(?:!doctype|html|body|div|p|ul|ol|li|a|span|article|section|nav|table|h[1-6])\b[^<>]*>", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<![^<>]*>")
+_CLASS = re.compile(r"\b(?:class|id)\s*=\s*[\"']?([\w-]+)")
+_COMMENT = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.S | re.I)
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+def templates(text: str, host: str) -> list[list[str]]:
+    """For each line of text (lower case) the leaves of its sentences, slots masked, empty ones left out."""
+    s = _SENT.sub("\x01", text)
+    if any(map(str.isdigit, s)):
+        s = _DIGITS.sub("0", _HEX.sub("0", s))
+    s = _OTHER.sub(" ", s)
+    if host:
+        s = s.replace(host, "§")
+    return [[x for p in line.split("\x01") if (x := p.strip())] for line in s.split("\n")]
 
 
-def template(s: str, host: str) -> str:
-    """The path's leaf: text with its slots masked."""
-    s = s.lower()
-    if _DIGIT.search(s):
-        s = _DIGITS.sub("0", _HEX.sub("0", s))
-    s = " ".join(_SIGNS.sub(" ", s).split())
-    return s.replace(host, "§") if host else s
+def template(text: str, host: str) -> str:
+    return " ".join(templates(text.lower(), host)[0])
 
 
 def host_words(name: str) -> str:
     """'the-daily.example' -> 'the daily', as a page writes its own name."""
     part = name.rsplit(".", 1)[0] if "." in name else name
-    return _OTHER.sub(" ", part.rsplit(".", 1)[-1]).strip()
+    return re.sub(r"[\W_]+", " ", part.rsplit(".", 1)[-1]).strip()
 
 
-#: Lines remembered per site name, menus and notices being most of the short ones; emptied when it grows beyond this number.
-REMEMBERED = 200_000
+def untag(text: str, name: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """(visible text, (path of tags, path above it)) of each line of a page that has tags; the paths bear tags, their class and the site."""
+    text = _COMMENT.sub(lambda m: "\n" * m[0].count("\n"), text)
+    stack: list[str] = []
+    lines, paths = [], []
+    for line in text.split("\n"):
+        own: tuple[int, int] | None = None
+        out, at = [], 0
+        for m in [*_TAG.finditer(line), None]:
+            piece = line[at : m.start() if m else len(line)]
+            if own is None and piece.strip():
+                own = h64(f"{name}\0{'/'.join(stack)}"), h64(f"{name}\0{'/'.join(stack[:-1])}")
+            out.append(piece)
+            if m is None:
+                break
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if m[1] and any(x.split(".")[0] == tag for x in stack):
+                while stack and stack.pop().split(".")[0] != tag:
+                    pass
+            elif tag and not m[1] and tag not in _VOID and not m[3].rstrip().endswith("/"):
+                c = _CLASS.search(m[3])
+                stack.append(f"{tag}.{c[1].lower()}" if c else tag)
+        lines.append(" ".join("".join(out).split()))
+        paths.append(own or (0, 0))
+    return lines, paths
 
 
-def scan(text: str, host: str, memo: dict | None = None) -> tuple[list[int], list[int], int, int, set[int]]:
-    """Per line a code and its hashes (in order: line, prefix, segments); then the numbers of unfilled slots and of filler words of the page and
-    the hashes of its sentences of prose, none where it looks like an error page.
-    """
-    codes: list[int] = []
-    hashes: list[int] = []
-    slots = filler = 0
-    memo = {} if memo is None else memo
-    low = text.lower()
-    signs = any(x in text for x in "{<[%$#_") or "TODO" in text
-    latin = sum(x in low for x in _FILLER_SIGNS) >= 3
-    program = any(x in low for x in _PROGRAM_SIGNS)
-    plain, prose = [], 0
-    body: set[int] = set()
-    before = ""
-    for line in text.split("\n"):
-        short = len(line) <= 120
-        if short and (got := memo.get((host, line))) is not None:
-            code, own, k = got
-        else:
-            code, own, k = _scan_line(line, host, signs, program)
-            if short and (not signs or not code & PLACE):
-                if len(memo) >= REMEMBERED:
-                    memo.clear()
-                memo[host, line] = code, own, k
-        slots += k
-        if code & PLACE and not k:
-            # a default alone on its line; a list of such below a sentence about placeholders is none
-            slots += not _MENTION.search(before)
-        elif not code & EMPTY:
-            before = line
-        if latin and not code & EMPTY:
-            words = _WORD.findall(line.lower())
-            if len(words) >= 5 and sum(w in LOREM for w in words) >= 0.7 * len(words):
-                code |= FILLER
-                filler += len(words)
-        if code & PROSE and not code & FILLER:
-            prose += 1
-            plain.append(len(codes))
-            if not code & (PROGRAM | LINK | TOPIC | NOTICE | META):
-                body.update(sorted(own[-(code >> SEGMENTS) :])[:PER_LINE] if code >> SEGMENTS else own[:1])
-        codes.append(code)
-        hashes += own
-    if prose <= 3:
-        lines = text.split("\n")
-        for i in plain:
-            if _errors(lines[i]) if codes[i] & LONG else _ERROR.search(lines[i]):
-                codes[i] |= ERROR
-                body = set()
-    return codes, hashes, slots, filler, body
+#: Lines remembered per site name, menus and notices being most of the short ones; emptied when it grows beyond this number.
+REMEMBERED = 200_000
 
 
-def _errors(line: str) -> bool:
-    """Whether a long line is an error page as a whole: its words stand in most of its text, not in a sentence or two of an article."""
-    n = len(line.strip())
-    hit = [len(x) for x in _SENT.split(line.strip()) if _ERROR.search(x)]
-    return sum(hit) >= 0.6 * n and PER_SIGN * sum(1 for _ in _ERROR.finditer(line)) >= n
+class Page:
+    """What one page adds to the statistics of paths.
 
+    codes: per line its flags and the number of its segments; hashes: per line, in order, those of its template, prefix and segments; sizes: beside each hash
+    the length of its text, the punctuation in it, and its parent (kind of page, zone and kind of line). mass: text per parent. spans: possible slots; skeletons: lines with
+    their words taken out, filled; blanks: the same of lines with an empty place. parts: of pages with hardly a sentence, per sentence the number of its line and of
+    its words, its hash and those of its runs of up to PART words. tags, line_tags: paths of tags, if there are any.
+    """
 
-def _scan_line(line: str, host: str, signs: bool, program: bool) -> tuple[int, list[int], int]:
+    def __init__(self, text: str, host: str, name: str = "", memo: dict | None = None):
+        memo = {} if memo is None else memo
+        self.codes: list[int] = []
+        self.hashes: list[int] = []
+        self.sizes: list[int] = []
+        self.body: set[int] = set()
+        self.spans: list[str] = []
+        self.skeletons: set[int] = set()
+        self.blanks: set[int] = set()
+        self.parts: list[np.ndarray] = []
+        self.filler = 0
+        self.mass = np.zeros(48, np.int64)
+        self.tags: dict[int, list[int]] = {}
+        self.line_tags: list[int] = []
+        lines = text.split("\n")
+        if "<" in text and _TAGGED.search(text):
+            lines, paths = untag(text, name)
+            text = "\n".join(lines)
+            self.line_tags = [p for p, _ in paths]
+            for line, (p, up) in zip(lines, paths):
+                if p:
+                    t = self.tags.setdefault(p, [up, 0, 0, 0])
+                    for i, v in enumerate((1, len(line), sum(map(line.count, _MARKS))), 1):
+                        t[i] += v
+        low = text.lower()
+        if any(x in text for x in "{<[$%#_") or "TODO" in text:
+            self._spans(lines)
+        latin = sum(x in low for x in _FILLER_SIGNS) >= 3
+        program = any(x in low for x in _PROGRAM_SIGNS)
+        long = [x for x in lines if len(x) > 120]
+        wide = iter(templates("\n".join(long).lower(), host)) if long else iter(())
+        got = []
+        for line in lines:
+            if len(line) > 120:
+                got.append(_line(line, host, program, next(wide)))
+            else:
+                if (one := memo.get((host, line))) is None:
+                    one = _line(line, host, program, None)
+                    if not program:
+                        if len(memo) >= REMEMBERED:
+                            memo.clear()
+                        memo[host, line] = one
+                got.append(one)
+        prose = [i for i, g in enumerate(got) if g[0] & PROSE]
+        first, last = (prose[0], prose[-1]) if prose else (len(got), len(got))
+        # pages with hardly a sentence are a branch of their own: most of them are notices of errors
+        n_sentences = sum(max(1, g[0] >> SEGMENTS) for g in got if g[0] & PROSE)
+        thin = 16 * ((n_sentences < LEAST_BODY) + (n_sentences < 3))
+        for i, (line, (code, own, sizes, skeleton)) in enumerate(zip(lines, got)):
+            if latin and not code & EMPTY:
+                words = _WORD.findall(line.lower())
+                if len(words) >= 5 and sum(w in LOREM for w in words) >= 0.7 * len(words):
+                    code |= FILLER
+                    self.filler += len(words)
+            if code & PROSE and not code & (FILLER | PROGRAM | META):
+                n = code >> SEGMENTS
+                self.body.update(sorted(own[-n:])[:PER_LINE] if n else own[:1])
+            parent = (0 if i < first else 2 if i > last else 1) | bool(code & ENDED) << 2 | bool(code & WORDY) << 3 | thin
+            self.codes.append(code)
+            self.hashes += own
+            for size in sizes:
+                self.sizes.append(size | parent)
+                self.mass[parent] += size >> 22
+            if thin and code & HAS_KEY and code & (PROSE | ENDED):
+                for leaf in templates(line.strip(_OUTER).lower(), host)[0]:
+                    words, glue = (leaf.split(), " ") if " " in leaf else (list(leaf), "")
+                    runs = [h64(glue.join(words[j:k])) for j in range(len(words)) for k in range(j + 1, min(len(words), j + PART) + 1)]
+                    self.parts.append(np.array([i, len(words), h64(leaf), *runs], np.uint64))
+            if skeleton:
+                (self.blanks if skeleton < 0 else self.skeletons).add(abs(skeleton))
+
+    def _spans(self, lines: list[str]) -> None:
+        before = ""
+        for line in lines:
+            for m in _SPAN.finditer(line):
+                # a sentence that writes about slots, or the list below one, has none of its own
+                if not _MENTION.search(line, max(0, m.start() - 90), m.start()) and not (m[0] == line.strip(_OUTER) and _MENTION.search(before)):
+                    self.spans.append(m[0].lower())
+            if _ANY.search(line):
+                before = line if not _SPAN.fullmatch(line.strip(_OUTER)) else before
+
+
+def _size(part: str, marks: int) -> int:
+    return len(part) << 22 | min(marks, 0xFFFF) << 6
+
+
+def _line(line: str, host: str, program: bool, leaves: list[str] | None) -> tuple[int, list[int], list[int], int]:
+    """(flags and number of segments, hashes, sizes, hash of the skeleton: negative for one with a blank, 0 for none)."""
     s = line.strip()
-    n, code, slots = len(s), 0, 0
+    n, code, skeleton = len(s), 0, 0
     own: list[int] = []
-    if signs:
-        for m in _PLACE.finditer(s):
-            if not _MENTION.search(s, max(0, m.start() - 90), m.start()):
-                code |= PLACE
-                slots += 1
-    if program and (_PROGRAM.search(s) if n <= 400 else _STARTS.match(s) or PER_SIGN * sum(1 for _ in _FLAT.finditer(s)) >= n):
-        code |= PROGRAM
+    sizes: list[int] = []
     if not _ANY.search(s):
-        return code or EMPTY, own, slots
-    if n > PARAGRAPH:
-        keys = [k for x in _SENT.split(s.strip(_OUTER)) if (k := template(x, host))]
-        key = " ".join(keys)
-        if key:
-            code |= HAS_KEY
-            own.append(_hash(key, len(key)))
-            if len(keys) > 1:
-                code |= len(keys) << SEGMENTS
-                own += [_hash(k, len(k)) for k in keys]
-        return code | LONG | PROSE, own, slots
+        return EMPTY, own, sizes, 0
+    if program and PER_SIGN * sum(1 for _ in _FLAT.finditer(s)) >= n:
+        code |= PROGRAM
     if _ITEM.match(s):
         code |= ITEM
     core = s.strip(_OUTER)
@@ -209,69 +272,79 @@ def _scan_line(line: str, host: str, signs: bool, program: bool) -> tuple[int, l
         code |= PROSE
     if blanks >= 4 or cjk >= 10:
         code |= WORDY
-    flat = " ".join(core.split())
-    size = len(flat)
-    if flat.lower().rstrip("!.: ") in _DEFAULTS:
-        code |= PLACE
-    open_end = not code & ENDED
-    if size <= 60 and _READING.match(flat) or size <= 70 and "©" not in flat and _DATE.search(flat) or size <= 110 and open_end and _BYLINE.match(flat):
-        return code | META, own, slots
-    colon = ":" in flat or "：" in flat
-    if colon and _LINK.match(flat):
-        code |= LINK
-    elif colon and _TOPIC.match(flat):
-        code |= TOPIC
-    elif size <= 70 and _LINKHEAD.match(flat):
-        code |= LINKHEAD
-    if _NOTICE.search(flat) or size <= 80 and _PROMPT.match(flat):
-        code |= NOTICE
-    key = template(core, host)
-    if key:
-        code |= HAS_KEY
-        own.append(_hash(key, len(key)))
-        if colon and (m := _PREFIX.match(flat)) and len(m[1].split()) <= 4 and (pre := template(m[1], host)):
-            code |= HAS_PREFIX
-            own.append(_hash(pre + ":", SHORT + 1))
-        segs = [x for x in _SEP.split(line.strip(_OUTER)) if x.strip()]
-        if len(segs) < 2 or max(map(len, segs)) > 30:
-            segs = _SENT.split(core) if code & (PROSE | ENDED) else []
-        keys = [k for x in segs if (k := template(x, host))] if len(segs) > 1 else []
-        if len(keys) > 1:
-            code |= len(keys) << SEGMENTS
-            own += [_hash(k, len(k)) for k in keys]
-    return code, own, slots
-
-
-def _hash(key: str, n: int) -> int:
-    """The lowest bit tells the longer paths, which need more support."""
-    return h64(key) & ~1 | (n > SHORT)
+    flat = " ".join(core.split()) if n <= 120 else ""
+    if flat:
+        if "," in flat or "(" in flat:
+            shape = re.sub(r"[^\W_]+(?:\s+[^\W_]+)*", "w", flat)
+            words = _WORD.findall(flat.lower())
+            if words and not code & PROSE:
+                shape = re.sub(r"\s+", "", shape)
+                skeleton = (h64(f"{words[0]} {shape}") >> 1 or 1) * (-1 if _BLANK.search(flat) else 1)
+        if len(flat) <= 60 and _READING.match(flat) or len(flat) <= 70 and "©" not in flat and _DATE.search(flat) or len(flat) <= 110 and not code & ENDED and _BYLINE.match(flat):
+            return code | META, own, sizes, skeleton
+    whole = leaves is None
+    if whole and _SIGN.search(core) and _SPAN.search(core):
+        # a line with what may be a slot keeps its signs, so that it isn't taken for one with the bare name
+        leaves, whole = ["\x02" + " ".join(core.lower().split())], False
+    elif whole:
+        leaves = templates(core.lower(), host)[0]
+    if not leaves:
+        return code, own, sizes, skeleton
+    marks = sum(map(core.count, _MARKS))
+    key = " ".join(leaves)
+    code |= HAS_KEY
+    own.append(h64(key))
+    sizes.append(_size(key, marks))
+    if n <= 200 and (":" in core or "：" in core) and (m := _PREFIX.match(" ".join(core.split()))) and len(m[1].split()) <= 4 and (pre := template(m[1], host)):
+        code |= HAS_PREFIX
+        own.append(h64(pre + ":"))
+        sizes.append(_size(key, marks))
+    segs = leaves
+    if whole:
+        parts = [x for x in _SEP.split(line.strip(_OUTER)) if x.strip()]
+        if len(parts) >= 2 and max(map(len, parts)) <= 30:
+            segs = [k for x in parts if (k := template(x, host))]
+        elif not code & (PROSE | ENDED):
+            segs = []
+    if len(segs) > 1:
+        code |= len(segs) << SEGMENTS
+        own += map(h64, segs)
+        sizes += [_size(x, -(-marks // len(segs))) for x in segs]
+    return code, own, sizes, skeleton
+
+
+_PATHS = "tbl string, page_key string, page bigint, site string, codes array<bigint>, hashes array<bigint>, sizes array<bigint>, mass array<bigint>, filler int, body array<bigint>, bands array<bigint>, parts array<array<bigint>>, spans array<string>, skeletons array<bigint>, blanks array<bigint>, tags array<struct<path:bigint,up:bigint,nodes:int,chars:bigint,marks:bigint>>, line_tags array<bigint>"
 
 
 def page_paths(pages: DataFrame) -> DataFrame:
-    """pages (tbl, page_key, url, text) -> (tbl, page_key, page, codes, hashes, slots, filler, body, bands), one row per page.
+    """pages (tbl, page_key, url, text) -> one row per page with what it adds to the statistics of paths (see Page).
 
-    Texts are read line by line as they are; extracted pages have no tags. Where one key comes with two texts the greater row counts.
+    Texts are read line by line; tags are taken off, and their paths kept. Where one key comes with two texts the greater row counts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
         perms = permutations(ROWS * BANDS)
+        names: dict[str, str] = {}
+        ints = lambda x: signed(np.array(x if isinstance(x, list) else sorted(x), np.uint64))
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("codes", "hashes", "slots", "filler", "body", "bands")}
+            out: dict[str, list] = {c: [] for c in ("codes", "hashes", "sizes", "mass", "filler", "body", "bands", "parts", "spans", "skeletons", "blanks", "tags", "line_tags")}
             for s, t in zip(b["site"], b["text"]):
-                codes, hashes, slots, filler, sentences = scan(t, host_words(s), memo)
-                body = np.sort(mix(np.array(list(sentences), np.uint64)))[:BODY] if len(sentences) >= LEAST_BODY else np.empty(0, np.uint64)
-                out["body"].append(signed(body))
-                out["bands"].append(signed(bands(body, perms)))
-                out["codes"].append(np.array(codes, np.int64))
-                out["hashes"].append(signed(np.array(hashes, np.uint64)))
-                out["slots"].append(slots)
-                out["filler"].append(filler)
-            yield b[["tbl", "page_key", "page"]].assign(**out)
+                host = names.get(s)
+                if host is None:
+                    host = names[s] = host_words(s)
+                p = Page(t, host, s, memo)
+                body = np.sort(mix(np.array(list(p.body), np.uint64)))[:BODY] if len(p.body) >= LEAST_BODY else np.empty(0, np.uint64)
+                tags = [{"path": int(signed(np.array([k], np.uint64))[0]), "up": int(signed(np.array([v[0]], np.uint64))[0]), "nodes": v[1], "chars": v[2], "marks": v[3]} for k, v in p.tags.items()]
+                for c, v in zip(out, (np.array(p.codes, np.int64), ints(p.hashes), np.array(p.sizes, np.int64), p.mass, p.filler, signed(body), signed(bands(body, perms)), [signed(x) for x in p.parts], p.spans, ints(p.skeletons), ints(p.blanks), tags, ints(p.line_tags))):
+                    out[c].append(v)
+            yield b[["tbl", "page_key", "page", "site"]].assign(**out)
 
     rows = pages.filter("page_key IS NOT NULL AND text IS NOT NULL").select("tbl", "page_key", F.xxhash64(F.lower(F.coalesce("url", "page_key"))).alias("page"), site(F.col("url")).alias("site"), "text")
-    got = spread(rows).mapInPandas(run, "tbl string, page_key string, page bigint, codes array<bigint>, hashes array<bigint>, slots int, filler int, body array<bigint>, bands array<bigint>")
-    return got.groupBy("tbl", "page_key").agg(F.max(F.struct("page", "codes", "hashes", "slots", "filler", "body", "bands")).alias("p")).select("tbl", "page_key", "p.*")
+    got = spread(rows).mapInPandas(run, _PATHS)
+    rest = [c for c in got.columns if c not in ("tbl", "page_key")]
+    # structs of arrays of structs don't compare by every type, so the greater row is chosen by its plain columns
+    return got.groupBy("tbl", "page_key").agg(F.max_by(F.struct(*rest), F.struct("page", "codes", "hashes", "filler")).alias("p")).select("tbl", "page_key", "p.*")
 
 
 def bands(body: np.ndarray, perms: np.ndarray) -> np.ndarray:
@@ -302,39 +375,153 @@ def copies(paths: DataFrame) -> DataFrame:
     return components(cut(alike, "copies")).select(F.col("node").alias("page"), "root")
 
 
-def supported(paths: DataFrame) -> DataFrame:
-    """(path): the templates that enough distinct bodies share; pages that are near-equal copies of each other count once."""
-    one = paths.select("page", "hashes").join(copies(paths), "page", "left").withColumn("page", F.coalesce("root", "page"))
-    seen = one.select("page", F.explode("hashes").alias("path")).distinct()
-    return seen.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") >= F.when(F.col("path").bitwiseAND(F.lit(1)) == 1, SUPPORT_LONG).otherwise(SUPPORT_SHORT)).select("path")
+def leaf_ratios(paths: DataFrame, same: DataFrame) -> DataFrame:
+    """(path, n, chars, marks, parent) of the leaves that stand in more than one body: places, and text and punctuation summed over them.
+
+    Pages that are near-equal copies of each other (same: page, root) are one body.
+    """
+    one = paths.select("page", "hashes", "sizes").join(same, "page", "left").withColumn("page", F.coalesce("root", "page"))
+    places = one.select("page", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).groupBy("page", F.col("x.hashes").alias("path")).agg(F.max("x.sizes").alias("size"))
+    by = places.groupBy("path", F.col("size").bitwiseAND(F.lit(63)).alias("parent")).agg(F.count("*").alias("n"), F.sum(F.shiftright("size", 22)).alias("chars"), F.sum(F.shiftright("size", 6).bitwiseAND(F.lit(0xFFFF))).alias("marks"))
+    leaf = by.groupBy("path").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("marks").alias("marks"), F.max_by("parent", "n").alias("parent"))
+    return leaf.filter("n > 1")
+
+
+def leaf_templates(paths: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(path) of the leaves whose ratio, smoothed by that of their parents and fused with punctuation, is under the threshold."""
+    # one number per parent: 48 rows
+    mass = paths.agg(*(F.coalesce(F.sum(F.element_at("mass", i + 1)), F.lit(0)).alias(f"m{i}") for i in range(48))).select(F.posexplode(F.array(*(f"m{i}" for i in range(48)))).alias("parent", "mass"))
+    again = leaves.groupBy("parent").agg(F.sum(F.col("chars") - F.col("chars") / F.col("n")).alias("again"))
+    parents = mass.join(again, "parent", "left").select("parent", F.greatest(F.lit(0.0), 1 - F.coalesce("again", F.lit(0.0)) / F.greatest("mass", F.lit(1))).alias("new"))
+    said = F.col("chars") / F.col("n")
+    ratio = (said + SMOOTH * F.col("new") * said) / (F.col("chars") + SMOOTH * said)
+    weight = 1 + MARKED * F.least(F.lit(1.0), F.col("marks") / F.col("n") / 2) * F.least(F.lit(1.0), said / 60)
+    return leaves.join(F.broadcast(parents), "parent").filter(ratio * weight < THRESHOLD).select("path")
+
+
+def tag_templates(paths: DataFrame) -> DataFrame:
+    """(path) of the paths of tags whose text per node, smoothed by the path above and fused with punctuation and nodes per page, is under the threshold."""
+    each = paths.filter("size(tags) > 0").select(F.explode("tags").alias("t")).select("t.*").groupBy("path").agg(F.max("up").alias("up"), F.count("*").alias("pages"), *(F.sum(c).alias(c) for c in ("nodes", "chars", "marks")))
+    above = each.select(F.col("path").alias("up"), (F.col("chars") / F.col("nodes")).alias("up_chars"), (F.col("marks") / F.col("nodes")).alias("up_marks"))
+    smooth = lambda c: (F.col(c) + F.coalesce(TAG_SMOOTH * F.col(f"up_{c}"), F.lit(0.0))) / (F.col("nodes") + F.when(F.col(f"up_{c}").isNull(), 0.0).otherwise(TAG_SMOOTH))
+    fused = smooth("chars") * (1 + smooth("marks")) / F.sqrt(F.col("nodes") / F.col("pages"))
+    return each.join(above, "up", "left").filter(fused < TAG_THRESHOLD).select("path")
+
+
+def with_templates(paths: DataFrame, tops: DataFrame, columns: list[str], work: Callable, schema: str, broadcast: int = BROADCAST) -> DataFrame:
+    """work(row, paths of LEAF, HEAD, DEFAULT and TAG kind that it may use) for each page; tops: (path, kind).
+
+    tops is broadcast while it is small, else each page is joined with its own.
+    """
+    keep = ["tbl", "page_key"]
+    if tops.count() <= broadcast:
+        known = [(r["path"], r["kind"]) for r in tops.toLocalIterator()]
+        arrays = [np.array([p for p, k in known if k == kind], np.int64) for kind in range(4)]
+        shared = paths.sparkSession.sparkContext.broadcast(arrays)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sets = [set(a.tolist()) for a in shared.value]
+            for b in batches:
+                yield work(b, [sets] * len(b))
+
+        return paths.select(*keep, *columns).mapInPandas(run, schema)
+    uses = F.concat("hashes", "line_tags", F.flatten("parts"))
+    own = paths.select(*keep, F.explode(F.array_distinct(uses)).alias("path")).join(tops, "path").groupBy(*keep).agg(F.collect_list("path").alias("_path"), F.collect_list("kind").alias("_kind"))
+
+    def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = []
+            for p, k in zip(b["_path"], b["_kind"]):
+                pairs = [] if p is None else list(zip(p.tolist(), k.tolist()))
+                sets.append([{x for x, y in pairs if y == kind} for kind in range(4)])
+            yield work(b, sets)
+
+    return paths.join(own, keep, "left").select(*keep, *columns, "_path", "_kind").mapInPandas(run_joined, schema)
+
+
+def template_lines(codes: list[int], hashes: list[int], known: set[int]) -> tuple[list[bool], list[int]]:
+    """(whether a line is of a template: its own leaf, its prefix or all of its segments are; its own hash, 0 for none) of each line."""
+    out, own = [], []
+    at = 0
+    for c in codes:
+        hit = bool(c & HAS_KEY) and hashes[at] in known
+        own.append(hashes[at] if c & HAS_KEY else 0)
+        at += bool(c & HAS_KEY)
+        if c & HAS_PREFIX:
+            hit = hit or hashes[at] in known
+            at += 1
+        k = c >> SEGMENTS
+        if k > 1:
+            hit = hit or all(h in known for h in hashes[at : at + k])
+            at += k
+        out.append(hit and not c & META)
+    return out, own
+
+
+def children(codes: list[int], hashes: list[int], known: set[int]) -> list[tuple[int, int, int]]:
+    """(own hash, bare lines that follow, those that end like sentences) of each line of a template."""
+    of, own = template_lines(codes, hashes, known)
+    out: list[tuple[int, int, int]] = []
+    head, n, ended = 0, 0, 0
+    for c, t, h in zip(codes, of, own):
+        if c & EMPTY:
+            continue
+        if t or c & (META | PROSE):
+            if head:
+                out.append((head, n, ended))
+            head, n, ended = (h if h in known and not c & (PROSE | ENDED | META) else 0), 0, 0
+        else:
+            n += 1
+            ended += bool(c & ENDED)
+    if head:
+        out.append((head, n, ended))
+    return out
+
+
+def link_heads(paths: DataFrame, tops: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """(path) of the templates that head lists of links: at each place they lead to several bare lines that few other pages have."""
+
+    def work(b: pd.DataFrame, sets: list) -> pd.DataFrame:
+        got = [x for c, h, k in zip(b["codes"], b["hashes"], sets) for x in children(c.tolist(), h.tolist(), k[LEAF])]
+        one = pd.DataFrame(got, columns=["path", "children", "ended"]).groupby("path", as_index=False).agg(n=("path", "size"), children=("children", "sum"), ended=("ended", "sum"))
+        return one[["path", "n", "children", "ended"]]
+
+    counts = with_templates(paths, tops, ["codes", "hashes"], work, "path bigint, n bigint, children bigint, ended bigint", broadcast)
+    total = counts.groupBy("path").agg(*(F.sum(c).alias(c) for c in ("n", "children", "ended")))
+    return total.filter((F.col("children") >= CHILDREN * (F.col("n") + SMOOTH)) & (F.col("ended") <= ENDINGS * F.col("children"))).select("path")
+
+
+def composed(parts: list[list[int]], known: set[int]) -> set[int]:
+    """Numbers of the lines all of whose sentences are templates, or several templates that follow each other without a sign, as the title and text of an error do."""
+    good: dict[int, bool] = {}
+    for line, n, whole, *runs in parts:
+        if whole not in known:
+            ends, at = {0}, 0
+            for j in range(n):
+                size = min(n - j, PART)
+                if j in ends:
+                    ends.update(j + k + 1 for k in range(size) if runs[at + k] in known)
+                at += size
+            good[line] = good.get(line, True) and n in ends
+        else:
+            good[line] = good.get(line, True)
+    return {i for i, hit in good.items() if hit}
 
 
-def judge(codes: list[int], hashes: list[int], known: set[int], slots: int, filler: int) -> tuple[bool, list[int]]:
+def judge(codes: list[int], hashes: list[int], known: set[int], heads: set[int], filler: int, line_tags: list[int] = (), low_tags: set[int] = frozenset(), parts: list[list[int]] = ()) -> tuple[bool, list[int]]:
     """(residue, numbers of the lines that are not main body).
 
-    A line whose own path, whose prefix or all of whose segments are templates belongs to the template, but for headline data such as
-    dates and bylines. Headline-like lines under a link heading are links up to the next prose or headline datum.
+    A line of a template is not main body, but for headline data such as dates and bylines; nor is one on a path of tags with a low ratio. Bare lines under the
+    heading of a list of links are links up to the next prose or headline datum.
     """
     n = len(codes)
-    template_line = [False] * n
-    kinds = codes
-    at = prose = errors = 0
-    for i, c in enumerate(kinds):
-        own = bool(c & HAS_KEY) and hashes[at] in known
-        at += bool(c & HAS_KEY)
-        prefixed = bool(c & HAS_PREFIX) and hashes[at] in known
-        at += bool(c & HAS_PREFIX)
-        k = c >> SEGMENTS
-        parts = k > 1 and all(h in known for h in hashes[at : at + k])
-        at += k
-        if not c & META:
-            template_line[i] = own or prefixed or bool(parts)
-        if c & PROSE and not template_line[i] and not c & (FILLER | PROGRAM | LINK | TOPIC | NOTICE | META):
-            if c & ERROR:
-                errors += 1
-            else:
-                prose += 1
-    residue = bool(slots) or filler >= 12 or prose == 0 and any(not c & EMPTY for c in kinds) and (errors < 3)
+    of, own = template_lines(codes, hashes, known)
+    for i in composed(parts, known):
+        of[i] = True
+    if line_tags:
+        of = [t or (p in low_tags and bool(c & HAS_KEY)) for t, p, c in zip(of, line_tags, codes)]
+    prose = any(c & PROSE and not t and not c & (FILLER | PROGRAM | META) for c, t in zip(codes, of))
+    residue = filler >= FILLER_WORDS or not prose and any(not c & EMPTY for c in codes)
     drop = [False] * n
     linking, headline, shared = False, False, -1
     block: list[int] = []
@@ -344,28 +531,28 @@ def judge(codes: list[int], hashes: list[int], known: set[int], slots: int, fill
         # or else the last line of some length that many copies of the article share
         nonlocal shared
         if not headline:
-            if block and not kinds[block[-1]] & ITEM:
+            if block and not codes[block[-1]] & ITEM:
                 drop[block[-1]] = False
             elif shared >= 0:
                 drop[shared] = False
         block.clear()
         shared = -1
 
-    for i, c in enumerate(kinds):
+    for i, c in enumerate(codes):
         if c & EMPTY:
             continue
-        if c & LINKHEAD:
+        if of[i] and own[i] in heads:
             block.clear()
             drop[i] = linking = True
         elif c & META:
             body_begins()
             linking, headline = False, True
-        elif template_line[i] or c & (LINK | TOPIC | NOTICE):
+        elif of[i]:
             linking = False
             drop[i] = True
-            if c & WORDY and not c & (LINK | TOPIC | NOTICE | ITEM | ENDED) and not c >> SEGMENTS:
+            if c & WORDY and not c & (ITEM | ENDED | HAS_PREFIX) and not c >> SEGMENTS:
                 shared = i
-        elif c & (PROSE | LONG):
+        elif c & PROSE:
             body_begins()
             linking, headline = False, True
         elif linking:
@@ -377,28 +564,72 @@ def judge(codes: list[int], hashes: list[int], known: set[int], slots: int, fill
     return residue, [i for i in range(n) if drop[i]]
 
 
-def judged(paths: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
-    """(tbl, page_key, residue, dropped): the verdict on every page and the numbers of its lines that are not main body."""
-    tops = cut(supported(paths), "templates")
-    schema = "tbl string, page_key string, residue boolean, dropped array<int>"
-    if tops.count() <= broadcast:
-        shared = paths.sparkSession.sparkContext.broadcast(np.array([r[0] for r in tops.toLocalIterator()], np.int64))
+def align(span: str) -> list[tuple[str, str]]:
+    """(template, value) for every run of words of a span that can be its slot: what stands round the run, and the run, marks between its words as blanks."""
+    words = list(_NAMES.finditer(span))
+    out = []
+    for i in range(len(words)):
+        for j in range(i, len(words)):
+            value = " ".join(re.split(r"[\W_]+", span[words[i].start() : words[j].end()]))
+            out.append((re.sub(r"\s+", "", span[: words[i].start()] + "\x00" + span[words[j].end() :]), value))
+    return out
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = set(shared.value.tolist())
-            for b in batches:
-                got = [judge(c.tolist(), h.tolist(), known, s, f) for c, h, s, f in zip(b["codes"], b["hashes"], b["slots"], b["filler"])]
-                yield b[["tbl", "page_key"]].assign(residue=[g[0] for g in got], dropped=[np.array(g[1], np.int32) for g in got])
 
-        return paths.select("tbl", "page_key", "codes", "hashes", "slots", "filler").mapInPandas(run, schema)
-    own = paths.select("tbl", "page_key", F.explode("hashes").alias("path")).distinct().join(tops, "path", "left_semi").groupBy("tbl", "page_key").agg(F.collect_list("path").alias("known"))
+def unfilled(paths: DataFrame) -> DataFrame:
+    """(tbl, page_key) of the pages with slots left unfilled, induced by aligning what may be a slot over all pages.
 
-    def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Spans of one template are aligned with each other: what differs between them is the slot. A value that fills the slots of several templates is the
+    name of a variable; a template that several names fill has a slot. A slot that holds such a name is unfilled. So is a default, a span
+    most of whose pages have unfilled slots, and a blank in a line whose skeleton other pages fill.
+    """
+    spans = cut(paths.filter("size(spans) > 0").select("tbl", "page_key", "page", F.explode(F.array_distinct("spans")).alias("span")), "spans")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [judge(c.tolist(), h.tolist(), set() if k is None else set(k.tolist()), s, f) for c, h, s, f, k in zip(b["codes"], b["hashes"], b["slots"], b["filler"], b["known"])]
-            yield b[["tbl", "page_key"]].assign(residue=[g[0] for g in got], dropped=[np.array(g[1], np.int32) for g in got])
+            yield pd.DataFrame([(s, t, v) for s in b["span"] for t, v in align(s)], columns=["span", "template", "value"])
+
+    aligned = cut(spans.select("span").distinct().mapInPandas(run, "span string, template string, value string"), "aligned")
+    names = aligned.groupBy("value").agg(F.countDistinct("template").alias("n")).filter(F.col("n") >= FILLS).select("value")
+    named = aligned.join(names, "value", "left_semi")
+    slots = named.groupBy("template").agg(F.countDistinct("value").alias("n")).filter(F.col("n") >= NAMES).select("template")
+    held = named.join(slots, "template", "left_semi").select("span").distinct()
+    found = cut(spans.join(held, "span", "left_semi").select("tbl", "page_key", "page").distinct(), "unfilled")
+    marked = spans.join(found.select("page", F.lit(1).alias("has")).distinct(), "page", "left")
+    share = marked.groupBy("span").agg(F.countDistinct("page").alias("n"), F.countDistinct(F.when(F.col("has") == 1, F.col("page"))).alias("k"))
+    defaults = share.filter((F.col("k") >= DEFAULT_PAGES) & (F.col("k") >= DEFAULT_SHARE * F.col("n"))).select("span")
+    filled = paths.select("page", F.explode("skeletons").alias("skeleton")).groupBy("skeleton").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= SKELETON_PAGES).select("skeleton")
+    blank = paths.filter("size(blanks) > 0").select("tbl", "page_key", F.explode("blanks").alias("skeleton")).join(filled, "skeleton", "left_semi")
+    return found.select("tbl", "page_key").union(spans.join(defaults, "span", "left_semi").select("tbl", "page_key")).union(blank.select("tbl", "page_key")).distinct()
+
+
+def default_lines(paths: DataFrame, slotted: DataFrame, leaves: DataFrame, same: DataFrame) -> DataFrame:
+    """(path) of bare lines that are defaults: nearly all of the bodies that have them have unfilled slots, and these are of more than one site."""
+    bodies = paths.join(slotted, ["tbl", "page_key"], "left_semi").join(same, "page", "left").withColumn("page", F.coalesce("root", "page"))
+    mine = bodies.select("page", "site", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).filter(F.col("x.sizes").bitwiseAND(F.lit(4)) == 0)
+    own = mine.groupBy(F.col("x.hashes").alias("path")).agg(F.countDistinct("page").alias("k"), F.countDistinct("site").alias("sites")).filter((F.col("k") >= DEFAULT_PAGES) & (F.col("sites") > 1))
+    return own.join(leaves, "path").filter(F.col("k") >= DEFAULT_SHARE * F.col("n")).select("path")
+
 
-    return paths.join(own, ["tbl", "page_key"], "left").select("tbl", "page_key", "codes", "hashes", "slots", "filler", "known").mapInPandas(run_joined, schema)
+def judged(paths: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """(tbl, page_key, residue, dropped): the verdict on every page and the numbers of its lines that are not main body."""
+    same = cut(copies(paths), "same")
+    leaves = cut(leaf_ratios(paths, same), "leaves")
+    slotted = cut(unfilled(paths), "slotted")
+    kind = lambda df, k: df.select("path", F.lit(k).alias("kind"))
+    tops = cut(kind(leaf_templates(paths, leaves), LEAF).union(kind(tag_templates(paths), TAG)), "templates")
+    heads = link_heads(paths, tops, broadcast)
+    tops = cut(tops.union(kind(heads, HEAD)).union(kind(default_lines(paths, slotted, leaves, same), DEFAULT)), "templates")
+
+    def work(b: pd.DataFrame, sets: list) -> pd.DataFrame:
+        got = []
+        for c, h, f, t, p, (known, first, defaults, low) in zip(b["codes"], b["hashes"], b["filler"], b["line_tags"], b["parts"], sets):
+            hashes = h.tolist()
+            bad, drop = judge(c.tolist(), hashes, known, first, f, t.tolist(), low, [x.tolist() for x in p])
+            got.append((bad or bool(defaults) and not defaults.isdisjoint(hashes), np.array(drop, np.int32)))
+        return b[["tbl", "page_key"]].assign(residue=[g[0] for g in got], dropped=[g[1] for g in got])
+
+    verdict = with_templates(paths, tops, ["codes", "hashes", "filler", "line_tags", "parts"], work, "tbl string, page_key string, residue boolean, dropped array<int>", broadcast)
+    return verdict.join(slotted.withColumn("slot", F.lit(True)), ["tbl", "page_key"], "left").select("tbl", "page_key", (F.col("residue") | F.coalesce("slot", F.lit(False))).alias("residue"), "dropped")
 
 
 def passed_on(url_content: DataFrame) -> DataFrame:
@@ -418,7 +649,7 @@ def corpus_pages(corpus: DataFrame) -> DataFrame:
 def residue(pages: DataFrame) -> DataFrame:
     """(tbl, page_key) of the pages (tbl, page_key, url, text) that are residue.
 
-    Residue is a page with a slot left unfilled or with its default (unless the sentence writes about placeholders), with filler, or without any prose of its
+    Residue is a page with a slot left unfilled, with a default or a blank in it (unless the sentence writes about such), with filler, or without any prose of its
     own: all its lines belong to templates that other pages share (menus, error pages, calls for scripts), or are program output.
     Null keys and null or empty texts are never residue. A page delivered twice counts once.
     """

@@ -112,24 +112,26 @@ def page_rows(spark):
         host = f"paper-{i % 4}.example"
         lines_ = ["Home | News | Sport", f"{word()} and {word()} at {word()}", f"By {word()} {word()}, staff", "2024-01-02 10:00", prose(), "Advertisement", prose(), "You may also like", f"- {word()} looks at {word()}", f"- {word()} sees {word()}", "All rights reserved, paper", "Back to top"]
         out.append((f"k{i}", f"http://{host}/{i}", "\n".join(lines_)))
-    out += [(f"e{i}", f"http://paper-{i % 4}.example/e{i}", f"Home | News | Sport\nThis page was not found on the server. Ref: {i}a{i}b{i}c{i}9") for i in range(12)]
-    out += [("slot", "http://z.example/1", prose() + "\n" + "The {{ author }} wrote it."), ("mention", "http://z.example/2", prose() + "\nA placeholder such as {{ name }} is filled in later, he said to them."), ("filler", "http://z.example/3", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor.\nUt enim ad minim veniam quis nostrud exercitation ullamco."), ("trace", "http://z.example/4", "Traceback (most recent call last):\n  File \"/a/b.py\", line 3, in f\nKeyError: 'title'")]
+    out += [(f"e{i}", f"http://paper-{i % 4}.example/e{i}", f"Home | News | Sport\nThis page was not found on the server. Ref: {i}a{i}b{i}c{i}9") for i in range(24)]
+    # variables in several notations, which alignment makes out
+    out += [(f"slot{i}", f"http://z{i % 2}.example/s{i}", prose() + "\n" + x) for i, x in enumerate(["The {{ author }} wrote {{ title }} here.", "The [INSERT AUTHOR HERE] wrote it.", "The __TITLE__ of [INSERT TITLE HERE] is open.", "It was __AUTHOR__ again.", "A <TITLE GOES HERE> and <AUTHOR GOES HERE> here."])]
+    out += [("sic", "http://z.example/8", prose() + "\nHe said it [sic] twice."), ("once", "http://z.example/9", prose() + "\nA line [with one aside] in it."), ("mention", "http://z.example/2", prose() + "\nA placeholder such as {{ name }} is filled in later, he said to them."), ("filler", "http://z.example/3", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor.\nUt enim ad minim veniam quis nostrud exercitation ullamco."), ("trace", "http://z.example/4", "Traceback (most recent call last):\n  File \"/a/b.py\", line 3, in f\nKeyError: 'title'")]
     out += [("empty", "http://z.example/5", ""), ("null", None, None), (None, "http://z.example/6", "x"), ("k0", "http://paper-0.example/0", out[0][2])]
     return spark.createDataFrame([("t", k, u, t, None) for k, u, t in out], "tbl string, page_key string, url string, text string, codes string")
 
 
 def test_pages(spark):
     p = page_rows(spark)
-    assert {r["page_key"] for r in pages.residue(p).collect()} == {"slot", "filler", "trace", *(f"e{i}" for i in range(12))}
+    assert {r["page_key"] for r in pages.residue(p).collect()} == {*(f"slot{i}" for i in range(5)), "filler", "trace", *(f"e{i}" for i in range(24))}
     got = defaultdict(set)
     for r in pages.boilerplate(p).collect():
         got[r["page_key"]].add(r["line_no"])
-    assert all(got[f"k{i}"] == {0, 5, 7, 8, 9, 10, 11} for i in range(30)) and "slot" not in got
+    assert all(got[f"k{i}"] == {0, 5, 7, 8, 9, 10, 11} for i in range(30)) and "slot0" not in got
     paths = common.cut(pages.page_paths(p))
     joined = {(r["page_key"], tuple(r["dropped"])) for r in pages.judged(paths, broadcast=0).collect()}
     assert joined == {(r["page_key"], tuple(r["dropped"])) for r in pages.judged(paths).collect()}
     body = {r["page_key"]: r["body"] for r in pages.main_body(p).collect()}
-    assert body["slot"] is None and body["k1"].count("\n") == 4 and "Advertisement" not in body["k1"]
+    assert body["slot0"] is None and body["k1"].count("\n") == 4 and "Advertisement" not in body["k1"]
     assert pages.boilerplate(p.limit(0)).count() == 0 and pages.residue(p.limit(0)).count() == 0
 
 
@@ -140,7 +142,7 @@ def test_long_notices_are_templates_too(spark):
     notice = "We and our partners keep data on your device to measure how our pages are used. " * 5 + "You can change your choice at any time."
     many = " ".join(f"Partner {w} of this paper may keep your choice." for w in ("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)))
     p = spark.createDataFrame([("t", f"k{i}", f"http://paper-{i % 3}.example/{i}", "\n".join([f"{word()} at {word()}", "2024-01-02", prose(), notice, prose(), many])) for i in range(30)], "tbl string, page_key string, url string, text string")
-    assert len(notice) > pages.PARAGRAPH
+    assert len(notice) > 300
     got = defaultdict(set)
     for r in pages.boilerplate(p).collect():
         got[r["page_key"]].add(r["line_no"])
@@ -180,11 +182,13 @@ def test_residue_in_one_long_line(spark):
     consent = "We keep data on your device so that we and our partners can measure how our pages are used and what you care for. " * 3 + "Choose what you agree to before you go on."
     article = prose() + " The error page of the town said 404 not found, and Voros told readers to try again later. " + prose()
     trace = prose() + " The log had ValueError: twice, they said. " + prose()
-    out = [("trace", "Traceback (most recent call last): " + frames + " KeyError: 'title'"), ("frames", frames), ("error", error), ("article", article), ("mention", trace)]
-    out += [(f"c{i}", consent) for i in range(20)]
-    assert all(len(t) > 300 for _, t in out) and len(frames) > 400
+    out = [("trace", "Traceback (most recent call last): " + frames + " KeyError: 'title'"), ("frames", frames), ("article", article), ("mention", trace)]
+    out += [(f"c{i}", consent) for i in range(24)] + [(f"x{i}", error) for i in range(24)]
+    # an error page made of templates that follow each other without a sign
+    out += [(f"t{i}", "Error 502") for i in range(24)] + [(f"u{i}", "Your address has been logged by the server of this paper.") for i in range(24)] + [("both", "Error 503 Your address has been logged by the server of this paper.")]
+    assert len(frames) > 400 and len(error) > 300
     p = spark.createDataFrame([("t", k, f"http://{k}.example/1", t) for k, t in out], "tbl string, page_key string, url string, text string")
-    assert {r["page_key"] for r in pages.residue(p).collect()} == {"trace", "frames", "error", *(f"c{i}" for i in range(20))}
+    assert {r["page_key"] for r in pages.residue(p).collect()} == {"trace", "frames", "both", *(f"{k}{i}" for k in "cxtu" for i in range(24))}
 
 
 def test_residue_of_the_corpus_rests_on_all_its_pages(spark, tmp_path):
@@ -204,11 +208,36 @@ def test_residue_of_the_corpus_rests_on_all_its_pages(spark, tmp_path):
     assert bad <= loose and found == loose - bad
 
 
-def test_default_left_in_an_article(spark):
-    prose = "The council said that the mill at the old river would open again before the summer. " * 5
-    texts = {"default": f"Sample title\n{prose}\n{prose}", "mention": f"{prose}\nA template comes with a placeholder for each part:\nSample title\n- Section name\n{prose}", "plain": f"{prose}\n{prose}"}
+def test_slots_are_induced_by_alignment():
+    got = dict(pages.align("[insert item.url here]"))
+    assert got["[insert\x00here]"] == "item url" and got["[\x00here]"] == "insert item url" and len(pages.align("{{a}}")) == 1
+
+
+def test_defaults_and_blanks(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6)).capitalize()
+    prose = lambda: " ".join(f"{word()} said that {word()} went to {word()} before the {word()} came back home again." for _ in range(6))
+    names = ["title", "author", "date"]
+    marks = ["{{ %s }}", "[[%s]]", "__%s__", "#%s#"]
+    texts = {f"s{i}": f"Sample text\n{marks[i % 4] % names[i % 3]}\n{marks[(i + 1) % 4] % names[(i + 1) % 3]}\n{prose()}" for i in range(12)}
+    texts |= {"default": f"Sample text\n{prose()}", "plain": f"{word()} text\n{prose()}", "title": f"Title\n{prose()}\nDate", "mention": f"{prose()}\nA template comes with a placeholder for each part:\n{{{{ title }}}}\n{prose()}"}
+    texts |= {f"by{i}": f"{word()}\nBy {word()} {word()}, published here\n{prose()}" for i in range(20)} | {"blank": f"{word()}\nBy , published here\n{prose()}"}
     p = spark.createDataFrame([("t", k, f"http://{k}.example/1", t) for k, t in texts.items()], "tbl string, page_key string, url string, text string")
-    assert {r["page_key"] for r in pages.residue(p).collect()} == {"default"}
+    assert {r["page_key"] for r in pages.residue(p).collect()} == {*(f"s{i}" for i in range(12)), "default", "blank"}
+
+
+def test_paths_of_tags(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6)).capitalize()
+    said = lambda: " ".join(f"{word()} said, as {word()} did, that {word()} came back home again." for _ in range(4))
+    page = lambda: "\n".join(["<html><body>", "<nav><ul class=menu>", *(f"<li><a href='/{i}'>{word()}</a></li>" for i in range(6)), "</ul></nav>", f"<h1>{word()} opens the mill at {word()} again</h1>", "<div class='text'>", *(f"<p>{said()} <b>{word()}</b> agreed, and left.</p>" for _ in range(4)), "</div>", "<!-- note", "end --><div class=side><ul>", *(f"<li><a>{word()} at {word()}</a></li>" for _ in range(5)), "</ul></div></body></html>"])
+    p = spark.createDataFrame([("t", f"k{i}", f"http://a.example/{i}", page()) for i in range(6)], "tbl string, page_key string, url string, text string")
+    got = defaultdict(set)
+    for r in pages.boilerplate(p).collect():
+        got[r["page_key"]].add(r["line_no"])
+    assert all(got[f"k{i}"] == {*range(2, 8), *range(18, 23)} for i in range(6))
+    lines_, paths = pages.untag("<div id=a>one\n<p>two<br>three\n</p>four</div>", "s")
+    assert lines_ == ["one", "twothree", "four"] and paths[0] == paths[2] and paths[1][1] == paths[0][0]
 
 
 def test_passed_on(spark):
