@@ -1,10 +1,12 @@
-"""Problem 9: abusive, hateful or sexually explicit texts, by non-negative learning from positive and unlabelled examples."""
+"""Problem 9: abusive, hateful or sexually explicit texts, by non-negative learning from positive and unlabelled examples.
+
+A text is a row of segments (sentences, lines), a segment a set of words and of pairs of adjacent words, each known by a 64-bit hash.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,42 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parallel import spread
-from .common import bounded_sample, cut, read
+from .common import MULT, WordHash, cut, mix, read
 
 #: Bounds of the fitted sample: documents with confirmed verdicts, and unlabelled documents, chosen by the hash of their key.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 #: A document above this score is toxic.
 THRESHOLD = 0.4
 WINDOW = 14
-#: Weights nearer to zero than this are dropped.
-FAINT = 0.05
-LOW_BIAS = -1.0
+#: Sharpness of the soft maximum over the segments of a text.
+SHARP = 4.0
+#: Texts whose words are looked up at once.
+CHUNK = 256
 # fixed values: the notations of verdicts
 TOXIC, CLEAN = frozenset("abusive abuse hateful hate adult sexual toxic explicit".split()), frozenset("ok clean fine safe".split())
 
-# fixed values: plain examples in the languages of the data, a ground for the classifier where few verdicts have been given yet
-SEEDS = """
-you are a fucking idiot | shut up you bitch | you stupid asshole | you worthless piece of shit | go fuck yourself | what a moron | you scumbag | you bastard | you whore
-kill yourself | nobody would miss you | i know where you live | i will kill you | i will break your legs | you deserve to die | you should be shot | i hope you choke | you will not wake up
-they are vermin | they are subhuman | they are animals not people | they are a disease | they breed like rats | burn their houses | round them up | hang them all | get them out of our country
-hot nude girls | hardcore porn videos | want sex tonight | send nudes | horny women | naked and wet | he thrust deep inside her | she moaned with pleasure | spread her legs
-halt die fresse du arschloch | du dummes schwein | ich weiß wo du wohnst | ich bring dich um | sie sind ungeziefer | sie sind abschaum und gehören vergast | nackte heiße frauen sexvideos | du hurensohn
-ferme ta gueule connard | sale pute | pauvre merde | je sais où tu habites | je vais te tuer | ils sont de la vermine | qu'on les brûle | filles nues et chaudes vidéos de sexe | salope
-cállate hijo de puta | eres una mierda | sé dónde vives | te voy a matar | son ratas | son escoria | hay que colgarlos | mujeres desnudas vídeos de sexo | puta basura | imbécil cabrón
-chiudi la bocca stronzo | sei una merda | so dove abiti | ti ammazzo | sono feccia | sono parassiti da bruciare | donne nude video di sesso | figlio di puttana
-cala a boca filho da puta | seu merda | sei onde você mora | sei onde moras | vou te matar | são uma praga | são ratos | mulheres nuas vídeos de sexo | seu idiota
-hou je bek klootzak | jij vuile hoer | ik weet waar je woont | ik maak je dood | ze zijn ongedierte | ze zijn uitschot | naakte vrouwen seksvideo's | kankerlijer
-заткнись тварь | ты дерьмо | я знаю где ты живёшь | я тебя убью | они паразиты | они не люди | голые девушки секс видео | сука | ублюдок
-闭嘴你这个混蛋 | 去死吧 | 我知道你住在哪里 | 我要杀了你 | 他们是害虫 | 他们不是人 | 裸体美女色情视频 | 贱人 | 垃圾废物
-"""
-
 _HIDDEN = re.compile("[­​-‏⁠️﻿]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_·*]{1,2}[^\W\d_](?![^\W_])){2,}")
 _LEET = re.compile(r"(?<![\w@$!(+])(?=[^\s]*[^\W\d_])[(@$]?(?:[^\W_]|[@$!(+|](?=[^\W_]))+")
 _MASK = re.compile(r"([^\W\d_])[*#]{2,}([^\W\d_])?")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _MIXED = re.compile(r"[a-z][а-яёіјѕ]|[а-яёіјѕ][a-z]")
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_]+(?:'[^\W\d_]+)?(?:\*[^\W\d_]?)?")
+_TOKEN = re.compile(r"\n|[぀-ヿ㐀-鿿]+|[^\W\d_]+(?:'[^\W\d_]+)?(?:\*[^\W\d_]?)?")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _SEGMENT = re.compile(r"[.!?…;]+(?=[\s\"'”’»)]|$)|\n+|[。！？；]+")
 # fixed values: signs that stand for letters
@@ -86,155 +73,179 @@ def normalise(text: str) -> str:
     return _STRETCH.sub(r"\1", s)
 
 
-def tokens(text: str) -> list[list[str]]:
-    """The segments of a text (sentences, lines) as lists of words; script without blanks gives pairs of signs."""
-    out = []
-    clean = normalise(text)
-    signs = not clean.isascii() and _CJK.search(clean) is not None
-    for part in _SEGMENT.split(clean):
-        words = _TOKEN.findall(part)
-        if signs:
-            words = [x for w in words for x in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if "぀" <= w[0] <= "鿿" else (w,))]
-        if words:
-            out.append(words)
-    return out
+@dataclass
+class Words:
+    """Texts as arrays: a hash for each word, the segment of each word, the text of each segment."""
+
+    words: np.ndarray
+    seg: np.ndarray
+    doc: np.ndarray
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of words whose segment goes on, hash of each with its successor)."""
+        at = np.flatnonzero(self.seg[1:] == self.seg[:-1])
+        return at, mix(self.words[at] * MULT[0] + self.words[at + 1])
+
+
+def split_words(texts: list[str], memo: WordHash) -> Words:
+    """Texts in words; script without blanks gives pairs of signs."""
+    words: list[str] = []
+    ends = []
+    for text in texts:
+        clean = normalise(text)
+        found = _TOKEN.findall(_SEGMENT.sub("\n", clean))
+        if not clean.isascii() and _CJK.search(clean):
+            found = [x for w in found for x in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if "぀" <= w[0] <= "鿿" else (w,))]
+        words += found
+        ends.append(len(words))
+    hashes = np.fromiter((memo[w] for w in words), np.uint64, len(words))
+    text_of = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
+    cut_here = hashes == memo["\n"]
+    number = np.cumsum(cut_here) + text_of
+    keep = ~cut_here
+    kinds, seg = np.unique(number[keep], return_inverse=True)
+    doc = np.zeros(len(kinds), np.int64)
+    doc[seg] = text_of[keep]
+    return Words(hashes[keep], seg, doc)
+
+
+def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
 
 
 @dataclass
 class Model:
-    """Weights of words and of pairs of adjacent words."""
-
-    bias: float = 0.0
-    one: dict[str, float] = field(default_factory=dict)
-    two: dict[tuple[str, str], float] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        # the most that a word can add, with the pair that it begins
-        self.most = {w: v for w, v in self.one.items() if v > 0}
-        best: dict[str, float] = {}
-        for (a, _), v in self.two.items():
-            if v > 0:
-                best[a] = max(best.get(a, 0.0), v)
-        for a, v in best.items():
-            self.most[a] = self.most.get(a, 0.0) + v
-        self.hot = set(self.most)
-
-    def segment(self, words: list[str]) -> float:
-        """Logit of a segment: of the whole, or of its window with the most weight where it is longer."""
-        one, two = self.one, self.two
-        w = [one.get(x, 0.0) for x in words]
-        for i in range(len(words) - 1):
-            v = two.get((words[i], words[i + 1]))
-            if v is not None:
-                w[i] += v
-        total = sum(w)
-        if len(w) > WINDOW:
-            run = sum(w[:WINDOW])
-            total = max(total, run)
-            for i in range(WINDOW, len(w)):
-                run += w[i] - w[i - WINDOW]
-                if run > total:
-                    total = run
-        return self.bias + total
+    """Weights of words and of pairs of adjacent words, by their sorted hashes."""
+
+    bias: float = -30.0
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    weights: np.ndarray = field(default_factory=lambda: np.empty(0))
+
+    def segments(self, t: Words) -> np.ndarray:
+        """Logit of every segment: of the whole, or of its window with the most weight where it is longer."""
+        if not len(t.words):
+            return np.empty(0)
+        w = _lookup(self.keys, self.weights, t.words)
+        at, pairs = t.pairs()
+        w[at] += _lookup(self.keys, self.weights, pairs)
+        first = np.flatnonzero(np.concatenate([[True], t.seg[1:] != t.seg[:-1]]))
+        size = np.diff([*first, len(w)])
+        best = np.add.reduceat(w, first)
+        run = np.concatenate([[0.0], np.cumsum(w)])
+        starts = np.flatnonzero(np.arange(len(w)) + WINDOW <= np.repeat(first + size, size))
+        np.maximum.at(best, t.seg[starts], run[starts + WINDOW] - run[starts])
+        return self.bias + best
+
+    def scores(self, texts: list, memo: WordHash) -> np.ndarray:
+        """The score of each text, 0 to 1: that of its most toxic segments; 0 where there is no word."""
+        out = np.zeros(len(texts))
+        for i in range(0, len(texts), CHUNK):
+            part = [t or "" for t in texts[i : i + CHUNK]]
+            t = split_words(part, memo)
+            z = self.segments(t)
+            top = np.full(len(part), -np.inf)
+            np.maximum.at(top, t.doc, z)
+            # a sharp soft maximum: it lies above the greatest logit by log(segments) / SHARP at most, and orders texts by their other segments, too
+            more = np.bincount(t.doc, np.exp(SHARP * (z - top[t.doc])), len(part))
+            top = top + np.log(np.maximum(more, 1)) / SHARP
+            out[i : i + len(part)] = 1 / (1 + np.exp(-np.clip(top, -700, 30)))
+        return np.where(out < 1e-300, 0.0, out)
 
     def score(self, text: str | None) -> float:
-        if not text:
-            return 0.0
-        parts = tokens(text)
-        if not parts:
-            return 0.0
-        # a bias this low lies under any threshold in use, and is reported for all texts that come to less: most segments then need no sum
-        top = self.bias if self.bias <= LOW_BIAS else -30.0
-        for p in parts:
-            if (self.bias > LOW_BIAS or not self.hot.isdisjoint(p)) and self.bias + sum(v for w in p if (v := self.most.get(w, 0.0))) > top:
-                top = max(top, self.segment(p))
-        return float(1 / (1 + np.exp(-max(-30.0, min(30.0, top)))))
-
-
-def _features(words: list[str]) -> set:
-    return {*words, *zip(words, words[1:])}
-
-
-def _matrix(segs: list[list[str]], names: dict) -> tuple[np.ndarray, np.ndarray, int]:
-    """Row and column of every feature of every segment that has a name, the last column being the bias; and the number of segments."""
-    cols: list[int] = []
-    sizes = []
-    for seg in segs:
-        ids = {i for f in seg if (i := names.get(f)) is not None}
-        ids.update(i for f in zip(seg, seg[1:]) if (i := names.get(f)) is not None)
-        cols += ids
-        cols.append(len(names))
-        sizes.append(len(ids) + 1)
-    return np.repeat(np.arange(len(segs)), sizes), np.array(cols, np.int64), len(segs)
-
-
-def _fit(pos: tuple, unl: tuple, names: dict, prior: float, steps: int = 100, rate: float = 0.15, ridge: float = 2e-3) -> Model:
-    """Linear classifier under the non-negative positive-unlabelled risk: prior * R+(P) + max(0, R-(U) - prior * R-(P)), by Adam."""
+        return float(self.scores([text], WordHash())[0])
+
+
+def features(t: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, hash) of the distinct words and pairs of every segment."""
+    at, pairs = t.pairs()
+    seg, h = np.concatenate([t.seg, t.seg[at]]), np.concatenate([t.words, pairs])
+    order = np.lexsort((h, seg))
+    seg, h = seg[order], h[order]
+    new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (h[1:] != h[:-1])]) if len(seg) else np.empty(0, bool)
+    return seg[new], h[new]
+
+
+def _matrix(seg: np.ndarray, h: np.ndarray, n: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row and column of every feature that has a name, the last column being the bias; and the number of rows."""
+    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+    hit = names[at] == h
+    return np.concatenate([seg[hit], np.arange(n)]), np.concatenate([at[hit], np.full(n, len(names))]), n
+
+
+def _fit(pos: tuple, unl: tuple, names: np.ndarray, prior: float, steps: int = 120, rate: float = 0.15, ridge: float = 2e-3) -> Model:
+    """Linear classifier under the non-negative positive-unlabelled risk: prior * R+(P) + max(0, R-(U) - prior * R-(P)), by Adam.
+
+    The loss is the sigmoid, which bounds what a wrong verdict can do. Where the part in brackets would fall below zero it has no slope.
+    """
     (pr, pc, n_pos), (ur, uc, n_unl) = pos, unl
     size = len(names) + 1
     w = np.zeros(size)
     w[-1] = -2.0
     m, v = np.zeros(size), np.zeros(size)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    free = np.arange(size) < size - 1
     for t in range(1, steps + 1):
-        zp = np.bincount(pr, w[pc], n_pos)
-        zu = np.bincount(ur, w[uc], n_unl)
-        sp, su = sigmoid(zp), sigmoid(zu)
-        if t <= steps // 2:  # a convex start: the plain risk of positive against unlabelled with the logistic loss
-            gp, gu = prior * (sp - 1) / n_pos, su / n_unl
-        else:  # the risk itself with the bounded sigmoid loss; its negative part has no slope once it is at zero
-            up = -sp * (1 - sp)
-            gp, gu = prior * up / n_pos, np.zeros(n_unl)
-            if su.mean() - prior * sp.mean() > 0:
-                gp, gu = gp + prior * up / n_pos, su * (1 - su) / n_unl
-        g = np.bincount(pc, gp[pr], size) + np.bincount(uc, gu[ur], size)
-        g = g / prior + ridge * w * (np.arange(size) < size - 1)
+        zp, zu = np.bincount(pr, w[pc], n_pos), np.bincount(ur, w[uc], n_unl)
+        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
+        gp, gu = -prior * sp * (1 - sp) / n_pos, np.zeros(n_unl)
+        if su.mean() > prior * sp.mean():
+            gp, gu = 2 * gp, su * (1 - su) / n_unl
+        g = (np.bincount(pc, gp[pr], size) + np.bincount(uc, gu[ur], size)) / prior + ridge * w * free
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    weights = {f: float(w[i]) for f, i in names.items() if w[i] > FAINT or w[i] < -FAINT}
-    return Model(float(w[-1]), {f: v for f, v in weights.items() if isinstance(f, str)}, {f: v for f, v in weights.items() if not isinstance(f, str)})
+    return Model(float(w[-1]), names, w[:-1].astype(np.float32))
 
 
 def train(positive: list[str], unlabelled: list[str], prior: float, rounds: int = 3) -> Model:
-    """Fit on segments: at first all segments of confirmed documents count as positive, then those that the model takes for toxic.
+    """Fit on segments: at first those of confirmed documents with words that other documents use less stand for them, then those that the model takes for toxic.
 
     prior: the share of toxic documents; that of toxic segments follows from it and from the number of positive segments a document has.
     """
-    seeds = [s for x in SEEDS.replace("\n", "|").split("|") for s in tokens(x)]
-    pos_docs = [d for t in positive if (d := tokens(t))]
-    unl_docs = [tokens(t) for t in unlabelled]
-    unl = [s for d in unl_docs for s in d]
-    if not pos_docs or not unl:
-        return Model(-30.0)
-    per_doc = len(unl) / max(1, len(unlabelled))
-    # at first the segments with words that confirmed documents use oftener than others stand for their document
-    in_pos, in_unl = Counter(), Counter()
-    for d in pos_docs:
-        in_pos.update({f for s in d for f in _features(s)})
-    for d in unl_docs:
-        in_unl.update({f for s in d for f in _features(s) if f in in_pos})
-    ratio = {f: np.log((n + 0.5) / (len(pos_docs) + 1)) - np.log((in_unl[f] + 0.5) / (len(unlabelled) + 1)) for f, n in in_pos.items() if n >= 2}
-    chosen = []
-    for d in pos_docs:
-        gain = [sum(v for f in _features(s) if (v := ratio.get(f, 0.0)) > 1.0) / (len(s) + 2) ** 0.5 for s in d]
-        top = max(gain)
-        if top > 0:
-            chosen += [s for s, x in zip(d, gain) if x >= 0.6 * top]
-    chosen = chosen or [s for d in pos_docs for s in d]
-    usual: Counter = Counter()
-    for s in unl:
-        usual.update(set(s))
-    count: Counter = Counter(f for d in [*pos_docs, seeds] for s in d for f in _features(s))
-    kept = {f for f, n in count.items() if n >= 2 or isinstance(f, str)} | {f for f, n in usual.items() if n >= 4}
-    names = {f: i for i, f in enumerate(sorted(kept, key=repr))}
-    unl_matrix = _matrix(unl, names)
-    model = Model(-30.0)
+    memo = WordHash()
+    pos, unl = split_words(positive, memo), split_words(unlabelled, memo)
+    n_docs = len(np.unique(pos.doc))
+    if not n_docs or not len(unl.doc):
+        return Model()
+    per_doc = len(unl.doc) / max(1, len(unlabelled))
+    ps, ph = features(pos)
+    us, uh = features(unl)
+
+    def documents(seg: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((doc[seg], h))
+        a, d = h[order], doc[seg][order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
+        return np.unique(a[new], return_counts=True)
+
+    in_pos, n_pos = documents(ps, ph, pos.doc)
+    in_unl, n_unl = documents(us, uh, unl.doc)
+    often = n_pos >= 2
+    ratio = np.log((n_pos + 0.5) / (n_docs + 1)) - np.log((_lookup(in_unl, n_unl.astype(float), in_pos) + 0.5) / (len(unlabelled) + 1))
+    worth = _lookup(in_pos, np.where(often & (ratio > 1.0), ratio, 0.0), ph)
+    length = np.bincount(pos.seg, minlength=len(pos.doc))
+    gain = np.bincount(ps, worth, len(pos.doc)) / np.sqrt(length + 2)
+    best = np.zeros(int(pos.doc.max()) + 1)
+    np.maximum.at(best, pos.doc, gain)
+    chosen = np.flatnonzero((gain > 0) & (gain >= 0.6 * best[pos.doc]))
+    chosen = chosen if len(chosen) else np.arange(len(pos.doc))
+    # what several confirmed documents have, and what isn't rare in the others
+    kinds, uses = np.unique(uh, return_counts=True)
+    names = np.union1d(in_pos[often], kinds[uses >= 4])
+    unl_matrix = _matrix(us, uh, len(unl.doc), names)
+    model = Model()
     for r in range(rounds):
-        share = min(0.3, max(1e-3, prior * min(2.0, max(1.0, len(chosen) / len(pos_docs))) / per_doc))
-        model = _fit(_matrix(chosen + seeds, names), unl_matrix, names, share)
+        share = min(0.3, max(1e-3, prior * min(2.0, max(1.0, len(chosen) / n_docs)) / per_doc))
+        row = np.full(len(pos.doc), -1)
+        row[chosen] = np.arange(len(chosen))
+        hit = row[ps] >= 0
+        model = _fit(_matrix(row[ps][hit], ph[hit], len(chosen), names), unl_matrix, names, share)
         if r + 1 < rounds:
-            picked = [s for d in pos_docs for s in sorted(d, key=model.segment, reverse=True)[:3] if model.segment(s) > 0]
-            chosen = picked or chosen
+            z = model.segments(pos)
+            order = np.lexsort((-z, pos.doc))
+            place = np.arange(len(order)) - np.maximum.accumulate(np.where(np.concatenate([[True], pos.doc[order][1:] != pos.doc[order][:-1]]), np.arange(len(order)), 0))
+            picked = order[(place < 3) & (z[order] > 0)]
+            chosen = np.sort(picked) if len(picked) else chosen
     return model
 
 
@@ -252,23 +263,27 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     known = cut(verdicts(labels), "verdicts")
     share = known.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
     if not share:
-        return Model(-30.0)
+        return Model()
     docs = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text <> ''")
-    toxic = known.filter("toxic").select("doc_id")
-    positive = [r["text"] for r in bounded_sample(docs.join(toxic, "doc_id", "left_semi"), ["doc_id"], most_positive)]
-    unlabelled = [r["text"] for r in bounded_sample(docs.join(toxic, "doc_id", "left_anti"), ["doc_id"], most_unlabelled)]
+    marked = docs.join(known.filter("toxic").select("doc_id", "toxic"), "doc_id", "left").select("doc_id", "text", F.coalesce("toxic", F.lit(False)).alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
+    # rows are chosen where they are, so that no task sends more than its share
+    n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    most = {True: most_positive, False: most_unlabelled}
+    limit = {k: (1 << 40) if n.get(k, 0) <= most[k] else int(most[k] / n[k] * (1 << 40)) for k in most}
+    rows = sorted(marked.filter(F.col("h") < F.when(F.col("toxic"), limit[True]).otherwise(limit[False])).collect(), key=lambda r: (r["h"], r["doc_id"], r["text"]))
+    positive, unlabelled = ([r["text"] for r in rows if r["toxic"] == k][: most[k]] for k in (True, False))
     return train(positive, unlabelled, float(share))
 
 
 def toxicity(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every row, 0 to 1: that of the most toxic segment. Null and empty texts score 0."""
+    """(key, score) of every row, 0 to 1: that of the most toxic segments. Null and empty texts score 0."""
     kind = dict(documents.dtypes)[key]
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m, memo = shared.value, WordHash()
         for b in batches:
-            yield pd.DataFrame({key: b[key], "score": [m.score(t) for t in b["text"]]})
+            yield pd.DataFrame({key: b[key], "score": m.scores(b["text"].tolist(), memo)})
 
     return spread(documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))).mapInPandas(run, f"`{key}` {kind}, score double")
 
