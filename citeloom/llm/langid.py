@@ -22,14 +22,17 @@ ORDER, DISCOUNT = 4, 0.75
 BITS = 8
 #: Training text of a language is taken up to this number of characters (a bound for the fitted sample).
 MOST_CHARS = 2_000_000
-#: A sentence is accepted for a language if its cross-entropy, in bits a character, is at most REJECT, and beats the runner-up by MARGIN bits in all.
-REJECT, MARGIN = 6.5, 8.0
+#: Held-out sentences set what a language accepts: their cross-entropy a character at quantile FIT, and as much again as that lies above the median.
+#: A sentence is taken for a language whose calibrated probability is at least SURE.
+FOLDS, FIT, SURE = 5, 0.99, 0.9
+#: Lengths of the held-out fragments on which the temperature of the probabilities is fitted; whole sentences leave no error to learn from.
+FRAGMENTS, TEMPERATURES = (8, 16, 32), (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0)
 #: A sentence has at least this many words, or characters where words are not set apart.
 LEAST_WORDS, LEAST_SIGNS = 5, 10
 #: A line of a single sentence under this length (or number of signs where words are not set apart) is taken for a notice.
 NOTE, NOTE_SIGNS = 90, 30
-#: A run of sentences in another language than most of the text must beat that by RUN_MARGIN bits in all.
-RUN_MARGIN = 40.0
+#: The probability that a run of sentences in another language than most of the text must have against that.
+RUN_SURE = 1 - 1e-6
 
 # fixed values: notations of the languages besides the two-letter code
 NAMES = {
@@ -80,6 +83,9 @@ class Models:
     adds: list[np.ndarray]
     backs: list[np.ndarray]
     base: np.ndarray
+    #: bits a character that a text of each language may have, and the temperature of the probabilities
+    most: np.ndarray | None = None
+    temperature: float = 4.0
     tables: list[np.ndarray] | None = None
 
     def encode(self, text: str) -> np.ndarray:
@@ -195,6 +201,52 @@ def train(samples: list[tuple[str, str]]) -> Models:
     return Models(langs, symbols, codes, keys, [a.astype(np.float32) for a in adds], [b.astype(np.float32) for b in backs], base.astype(np.float32))
 
 
+def probabilities(bits: np.ndarray, temperature: float) -> np.ndarray:
+    """Calibrated probability of each language (last axis) from the bits that its model needs for a text."""
+    z = -(bits - bits.min(axis=-1, keepdims=True)) * (np.log(2) / temperature)
+    e = np.exp(z)
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def calibrated(samples: list[tuple[str, str]]) -> Models:
+    """Models of all samples, with the limits of each language and the temperature that samples held out in FOLDS parts give.
+
+    A language with too few samples for a held-out part gets the greatest limit of the others.
+    """
+    whole = train(samples)
+    ordered = sorted((code, text) for lang, text in samples if (code := label_code(lang)) and text and text.strip())
+    count: Counter = Counter()
+    folds = []
+    for code, _ in ordered:
+        folds.append(count[code] % FOLDS)
+        count[code] += 1
+    cross: dict[str, list[float]] = defaultdict(list)
+    parts: list[tuple[int, np.ndarray]] = []
+    for k in range(FOLDS):
+        rest = [x for x, f in zip(ordered, folds) if f != k]
+        if not rest or len({c for c, _ in rest}) < len(whole.langs):
+            continue
+        models = train(rest)
+        for (code, text), f in zip(ordered, folds):
+            if f == k:
+                bits = models.score(text)
+                own = models.langs.index(code)
+                cross[code].append(float(bits[:, own].mean()))
+                for n in FRAGMENTS:
+                    parts += [(own, bits[i : i + n].sum(axis=0)) for i in range(0, len(bits) - n + 1, n)]
+    limits = {}
+    for code, values in cross.items():
+        high, mid = np.quantile(values, FIT), np.median(values)
+        limits[code] = float(2 * high - mid)
+    top = max(limits.values(), default=float(BITS))
+    whole.most = np.array([limits.get(x, top) for x in whole.langs])
+    if parts:
+        own, bits = np.array([p for p, _ in parts]), np.array([b for _, b in parts])
+        loss = {t: float(-np.log(np.maximum(probabilities(bits, t)[np.arange(len(own)), own], 1e-12)).mean()) for t in TEMPERATURES}
+        whole.temperature = min(loss, key=lambda t: (loss[t], t))
+    return whole
+
+
 def sentences(text: str) -> list[tuple[int, int, int]]:
     """(start, end, block) of the whole sentences: parts of a line that end with a sentence's sign.
 
@@ -222,8 +274,8 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
 def identify(text: str, models: Models) -> tuple[str | None, float, list[tuple[str, int, int, int, float]]]:
     """(language of most of the text, confidence, segments (language, start, end, sentences, confidence)).
 
-    Every whole sentence gets the language of the lowest cross-entropy per character; it is rejected where no model fits or the best two are too close, and
-    then takes no side. Runs of sentences in one language form the segments. A text without a whole sentence is judged as one piece.
+    Every whole sentence gets the language of the lowest cross-entropy per character; it is rejected where that is above what held-out sentences of the
+    language have, or where the calibrated probability is low, and then takes no side. Runs of sentences in one language form the segments. A text without a whole sentence is judged as one piece.
     """
     if not text or not text.strip():
         return None, 0.0, []
@@ -234,17 +286,15 @@ def identify(text: str, models: Models) -> tuple[str | None, float, list[tuple[s
         spans = [(0, len(text), 0)]
     a, b, block = np.array(spans).T
     sums = np.array([bits[i:j].sum(axis=0) for i, j in zip(a, b)], np.float64)
-    order = np.argsort(sums, axis=1)
-    best = order[:, 0]
+    best = np.argmin(sums, axis=1)
     rows = np.arange(len(spans))
-    gap = sums[rows, order[:, 1]] - sums[rows, best] if sums.shape[1] > 1 else np.full(len(spans), 99.0)
-    ok = (sums[rows, best] / (b - a) <= REJECT) & (gap >= MARGIN)
+    trust = probabilities(sums, models.temperature)
+    most = np.full(len(models.langs), float(BITS)) if models.most is None else models.most
+    ok = (sums[rows, best] / (b - a) <= most[best]) & (trust[rows, best] >= SURE)
     weight = np.bincount(best[ok], weights=(b - a)[ok], minlength=len(models.langs))
     if not ok.any():
-        all_bits = sums.sum(axis=0)
-        two = np.sort(all_bits)[:2]
-        trust = 1 - 2.0 ** -min(60.0, float(two[1] - two[0]) / 4) if len(two) > 1 else 1.0
-        return models.langs[int(np.argmin(all_bits))], round(0.5 * trust, 4), []
+        total = probabilities(sums.sum(axis=0), models.temperature)
+        return models.langs[int(np.argmax(total))], round(0.5 * float(total.max()), 4), []
     main = int(np.argmax(weight))
     share = weight[main] / weight.sum()
     segments: list[tuple[str, int, int, int, float]] = []
@@ -255,19 +305,18 @@ def identify(text: str, models: Models) -> tuple[str | None, float, list[tuple[s
         while j + 1 < len(idx) and best[idx[j + 1]] == best[idx[i]] and block[idx[j + 1]] == block[idx[i]]:
             j += 1
         part = idx[i : j + 1]
-        own = float(gap[part].sum())
-        if best[part[0]] != main and float((sums[part, main] - sums[part, best[part[0]]]).sum()) < RUN_MARGIN:
-            i = j + 1
-            continue
-        segments.append((models.langs[best[part[0]]], int(a[part[0]]), int(b[part[-1]]), len(part), round(1 - 2.0 ** -min(60.0, own / 4), 4)))
+        own, bits_ = best[part[0]], sums[part].sum(axis=0)
+        if own == main or float(probabilities(bits_[[main, own]], models.temperature)[1]) >= RUN_SURE:
+            segments.append((models.langs[own], int(a[part[0]]), int(b[part[-1]]), len(part), round(float(probabilities(bits_, models.temperature)[own]), 4)))
         i = j + 1
-    return models.langs[main], round(float(share) * (1 - 2.0 ** -min(60.0, float(gap[ok].sum()) / 4)), 4), segments
+    main_bits = sums[ok & (best == main)].sum(axis=0)
+    return models.langs[main], round(float(share) * float(probabilities(main_bits, models.temperature)[main]), 4), segments
 
 
 def fit(samples: DataFrame, lang: str = "lang", text: str = "text", most_rows: int = 20_000) -> Models:
     """Models from at most `most_rows` labelled rows (chosen by the hash of their text); a documented bound of the fitted sample."""
     rows = bounded_sample(samples.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(lang, text).distinct(), [text, lang], most_rows)
-    return train([(r[lang], r[text]) for r in sorted(rows, key=lambda r: (r[lang], r[text]))])
+    return calibrated([(r[lang], r[text]) for r in sorted(rows, key=lambda r: (r[lang], r[text]))])
 
 
 def languages(df: DataFrame, models: Models, key: str = "_id", text: str = "text") -> DataFrame:
