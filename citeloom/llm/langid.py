@@ -285,7 +285,8 @@ def identify(text: str, models: Models) -> tuple[str | None, float, list[tuple[s
     if not spans:
         spans = [(0, len(text), 0)]
     a, b, block = np.array(spans).T
-    sums = np.array([bits[i:j].sum(axis=0) for i, j in zip(a, b)], np.float64)
+    run = np.vstack([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)])
+    sums = run[b] - run[a]
     best = np.argmin(sums, axis=1)
     rows = np.arange(len(spans))
     trust = probabilities(sums, models.temperature)

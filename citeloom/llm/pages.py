@@ -47,8 +47,8 @@ FILLS, NAMES = 3, 2
 DEFAULT_PAGES, DEFAULT_SHARE = 3, 0.8
 #: Pages whose lines of one skeleton are filled, for a blank in it to be an unfilled slot.
 SKELETON_PAGES = 14
-#: Words of a template that stands in a sentence with others.
-PART = 16
+#: Pieces (from a capital to the next) of a template that stands in a sentence with others.
+PART = 8
 #: Words of filler that make a page residue.
 FILLER_WORDS = 12
 
@@ -78,15 +78,17 @@ LOREM = frozenset(
 )
 
 
-_DIGITS, _OTHER = re.compile(r"[0-9]+"), re.compile(r"[^\w\n\x01]+|_+")
-_HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
+_DIGITS, _OTHER = re.compile(r"[0-9]+"), re.compile(r"(?:[^\w\s\x01\x03]|_)+")
+_HEX = re.compile(r"\b(?=[a-f]*0)(?:[a-f]|0){3,}\b")
 _ANY = re.compile(r"[^\W_]")
 _OUTER = " \t|•»·*–-\xa0\r"
 #: Words and signs without which no line of a page can be filler or program output.
 _FILLER_SIGNS = ("dolor", "ipsum", "aliqu", "eiusmod", "consequat", "incididunt", "exercitation", "cupidatat", "reprehenderit", "adipisc")
 _PROGRAM_SIGNS = ("traceback", "error", "exception", "warning:", "sqlstate", "connectionpool", "file \"", "content type is", "empty html", "undefined", "[object", ".php", "noscript", "remotedisconnected", "segmentation", "stack trace", "connection aborted", "\n  at ", "\n\tat ")
 _SEP = re.compile(r"\s*[|·•»>/]\s*|\s+-\s+|\s{2,}|\t")
-_SENT = re.compile(r"(?<=[.!?…])[^\S\n]+|(?<=[。！？])")
+_SENT = re.compile(r"[.!?…][\"'”’»」)\]]*[^\S\n]+|[。！？]")
+_HEXLIKE = re.compile(r"[a-f]0|0[a-f]")
+_CAPITAL = re.compile(r"(?<=\s)(?=[^\W_a-zß-öø-ÿ])")
 _PREFIX = re.compile(r"^\W*([^\W\d][^:：\d]{1,30}?)\s?[:：]")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -106,12 +108,13 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 def templates(text: str, host: str) -> list[list[str]]:
     """For each line of text (lower case) the leaves of its sentences, slots masked, empty ones left out."""
     s = _SENT.sub("\x01", text)
-    if any(map(str.isdigit, s)):
-        s = _DIGITS.sub("0", _HEX.sub("0", s))
+    s = _DIGITS.sub("0", s)
+    if _HEXLIKE.search(s):
+        s = _HEX.sub("0", s)
     s = _OTHER.sub(" ", s)
     if host:
-        s = s.replace(host, "§")
-    return [[x for p in line.split("\x01") if (x := p.strip())] for line in s.split("\n")]
+        return [[x.replace(host, "§") for p in line.split("\x01") if (x := " ".join(p.split()))] for line in s.split("\n")]
+    return [[x for p in line.split("\x01") if (x := " ".join(p.split()))] for line in s.split("\n")]
 
 
 def template(text: str, host: str) -> str:
@@ -162,7 +165,7 @@ class Page:
     codes: per line its flags and the number of its segments; hashes: per line, in order, those of its template, prefix and segments; sizes: beside each hash
     the length of its text, the punctuation in it, and its parent (kind of page, zone and kind of line). mass: text per parent. spans: possible slots; skeletons: lines with
     their words taken out, filled; blanks: the same of lines with an empty place. parts: of pages with hardly a sentence, per sentence the number of its line and of
-    its words, its hash and those of its runs of up to PART words. tags, line_tags: paths of tags, if there are any.
+    its pieces, which begin with a capital or a digit, its hash and those of its runs of up to PART pieces. tags, line_tags: paths of tags, if there are any.
     """
 
     def __init__(self, text: str, host: str, name: str = "", memo: dict | None = None):
@@ -229,10 +232,10 @@ class Page:
                 self.sizes.append(size | parent)
                 self.mass[parent] += size >> 22
             if thin and code & HAS_KEY and code & (PROSE | ENDED):
-                for leaf in templates(line.strip(_OUTER).lower(), host)[0]:
-                    words, glue = (leaf.split(), " ") if " " in leaf else (list(leaf), "")
-                    runs = [h64(glue.join(words[j:k])) for j in range(len(words)) for k in range(j + 1, min(len(words), j + PART) + 1)]
-                    self.parts.append(np.array([i, len(words), h64(leaf), *runs], np.uint64))
+                for leaf in templates(_CAPITAL.sub("\x03", line.strip(_OUTER)).lower(), host)[0]:
+                    pieces = [x.strip() for x in leaf.split("\x03")]
+                    runs = [h64(" ".join(pieces[j:k])) for j in range(len(pieces)) for k in range(j + 1, min(len(pieces), j + PART) + 1)]
+                    self.parts.append(np.array([i, len(pieces), h64(" ".join(pieces)), *runs], np.uint64))
             if skeleton:
                 (self.blanks if skeleton < 0 else self.skeletons).add(abs(skeleton))
 
