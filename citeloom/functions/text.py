@@ -45,8 +45,12 @@ def leading_refs(text: Column) -> Column:
     return ref_tags(F.regexp_extract(text, r"^(?:.{0,4}?\[REF-\d+\])+", 0))
 
 
+# fixed value: what a citation's URL looks like
+URL = r"https?://[\p{L}\p{N}_\-.]+(?:\.[a-z]{2,})+(?:/[\p{L}\p{N}_\-.~:/?#\[\]@!$&'()*+,;=%]*)?"
+
+
 def urls(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(https?://[^\s|\]\}<>\"]+)"), 1)
+    return F.regexp_extract_all(text, F.lit(f"({URL})"), 1)
 
 
 def citation_url(text: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: hosts that are never evidence
-SOCIAL = ("facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "tiktok.com", "linkedin.com")
-DENIED = ("music", "porn", "blog")
+# fixed values: hosts that are never fetched, wherever they stand in the host of a URL
+SOCIAL = ("facebook.com", "twitter.com", "x.com", "github.com", "google.com", "amazon.com", "youtube.com")
+# fixed values: the general entries of the deny list; longer lists come as tables (operators.pages.denied_urls)
+DENIED = ("twitter.com", "x.com", "books.google.com", "docs.google.com", "youtube.com", "www.facebook.com", "music", "porn", "spotify.com", "linkedin.com", "amazon.com")
 
 
 def host(url: Column) -> Column:
@@ -27,17 +28,25 @@ def is_bad(url: Column, denied: tuple[str, ...] = DENIED) -> Column:
     return F.coalesce(hit, F.lit(True)) | is_pdf(url)
 
 
-def admission(url: Column, denied: tuple[str, ...] = DENIED) -> Column:
-    """FLT-6: 'ok' or the reason of the first rule that turns the URL away."""
-    name = host(url)
-    listed = F.lit(False)
-    for d in denied + SOCIAL:
-        listed = listed | name.contains(d)
+def authority(url: Column) -> Column:
+    """What stands between '://' and the path, with user and port, in lower case; '' without a scheme."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+
+
+def admission(url: Column, denied: Column | None = None) -> Column:
+    """FLT-6: 'ok' or the reason of the first rule that turns the URL away.
+
+    denied: whether the deny list has the host as an entry (a join with a table of any size gives it); by default the entries of DENIED.
+    """
+    name = authority(url)
+    social = F.lit(False)
+    for d in SOCIAL:
+        social = social | name.contains(d)
     return (
         F.when(url.isNull() | (name == ""), "invalid url")
-        .when(name.contains("archive.org") | name.contains("internetarchive.org"), "archive")
-        .when(listed, "bad domain")
-        .when(F.lower(url).contains("music"), "music")
+        .when((name == "archive.org") | name.contains("internetarchive.org"), "archive")
+        .when((name.isin(*DENIED) if denied is None else denied) | social, "bad domain")
+        .when(name.contains("music"), "music")
         .when(F.lower(url).contains("pdf"), "pdf")
         .otherwise("ok")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .parallel import spread
 
 _REF = re.compile(r"<ref\b([^>]*?)/>|<ref\b([^>]*?)>(.*?)</ref\s*>", re.S | re.I)
-_URL = re.compile(r"https?://[^\s|\]}<>\"]+")
+_URL = re.compile(r"https?://[\w\-.]+(?:\.[a-z]{2,})+(?:/[\w\-.~:/?#\[\]@!$&'()*+,;=%]*)?")
 _NAME = re.compile(r"name\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s/>]+)")
 _HEADING = re.compile(r"^(={2,6})\s*(.*?)\s*\1\s*$", re.M)
 _LINK = re.compile(r"\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]")

@@ -1,20 +1,20 @@
 """Knowledge graphs of a fact: bad nodes, masking, two-hop joins, completeness (GR-1 to GR-9, JOIN-4, JOIN-17, JOIN-18, AGG-11, AGG-12).
 
 Edge tables are long: (title, fact, edge_idx, head, head_type, relation, tail, tail_type, head_coverage, tail_coverage). A fact has tens of edges,
-so the stateful masking runs per fact as a grouped pandas function; everything relational stays declarative.
+so the stateful masking takes them as one row, many facts to an Arrow batch; everything relational stays declarative.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.fuzzy import partial_ratio, word_partial_ratio, words
+from ..functions.fuzzy import partial_ratio, stems, word_partial_ratio, words
 
 KEY = ["title", "fact"]
 UNKNOWN = "<Unknown> #{}"
@@ -67,7 +67,7 @@ def bad_nodes(edges: DataFrame, keypoints: DataFrame) -> DataFrame:
     n = nodes(edges)
     plural = F.lit(False)
     for sign in PLURAL:
-        plural = plural | F.lower("node").contains(sign)
+        plural = plural | F.col("node").contains(sign)
     proper = F.pandas_udf(lambda s: s.map(proper_noun), "boolean")
     with_kp = n.join(keypoints, KEY, "left")
     missing = ~F.coalesce(F.array_join("keypoints", " ").contains(F.col("node")), F.lit(False))
@@ -98,7 +98,7 @@ def spanning_edges(triples: list[tuple[str, str]]) -> set[frozenset]:
     return tree
 
 
-def mask_single(edges: list[dict], bad: set[str], number: int = 1, compat: bool = True) -> list[dict] | None:
+def mask_single(edges: list[dict], bad: set[str], number: int = 1, compat: bool = False) -> list[dict] | None:
     """GR-4: edges rotated to begin at the first good head, that head replaced by '<Unknown> #n', pruned to a tree; None without a good head.
 
     compat prunes after each appended edge, so an edge that connects only later is lost; else once at the end.
@@ -123,22 +123,22 @@ def mask_single(edges: list[dict], bad: set[str], number: int = 1, compat: bool
 MASKED = "title string, fact int, edge_idx int, head string, head_unmasked string, head_type string, relation string, tail string, tail_unmasked string, tail_type string"
 
 
-def masked(edges: DataFrame, bad: DataFrame, compat: bool = True) -> DataFrame:
+def masked(edges: DataFrame, bad: DataFrame, compat: bool = False) -> DataFrame:
     """GR-4 for every fact: MASKED; facts without a good head give no row."""
     marks = bad.groupBy(*KEY).agg(F.collect_set("node").alias("bad"))
-    rows = valid_edges(edges).join(marks, KEY, "left")
+    columns = ["head", "head_type", "relation", "tail", "tail_type"]
+    # a fact's edges travel as one row, so that an Arrow batch holds many facts
+    rows = valid_edges(edges).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("edge_idx", *columns))).alias("edges")).join(marks, KEY, "left")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("edge_idx")
-        known = g["bad"].iloc[0]
-        got = mask_single(g[["head", "head_type", "relation", "tail", "tail_type"]].to_dict("records"), set(known) if known is not None else set(), compat=compat) or []
-        out = pd.DataFrame(got, columns=["head", "head_unmasked", "head_type", "relation", "tail", "tail_unmasked", "tail_type"])
-        out.insert(0, "title", g["title"].iloc[0])
-        out.insert(1, "fact", g["fact"].iloc[0])
-        out.insert(2, "edge_idx", range(len(out)))
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for title, fact, own, known in zip(b["title"], b["fact"], b["edges"], b["bad"]):
+                got = mask_single([{c: e[c] for c in columns} for e in own], set(known) if known is not None else set(), compat=compat) or []
+                out += [(title, fact, i, e["head"], e["head_unmasked"], e["head_type"], e["relation"], e["tail"], e["tail_unmasked"], e["tail_type"]) for i, e in enumerate(got)]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in MASKED.split(", ")])
 
-    return rows.groupBy(*KEY).applyInPandas(run, MASKED)
+    return rows.mapInPandas(run, MASKED)
 
 
 def mask_text(text: str, node: str, kind: str, number: int = 1) -> str:
@@ -158,6 +158,64 @@ def two_hop(masked_edges: DataFrame) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(Window.partitionBy("title", "fact").orderBy("aux_fact"))).filter("r = 1").select("title", "fact", "aux_fact", "node")
 
 
+def combined(masked_edges: DataFrame, keypoints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """GR-9: both graphs of each pair (title, fact, aux_fact) as one, with its two masked nodes: MASKED plus aux_fact, num_hops and masked_keypoints.
+
+    Heads and tails get their names back, the bad nodes of the joint graph are found anew, and a pair goes if one of its two nodes is among
+    them. keypoints: (title, fact, keypoints ARRAY); those of both facts count.
+    """
+    own = masked_edges.drop("head", "tail").withColumnRenamed("head_unmasked", "head").withColumnRenamed("tail_unmasked", "tail")
+    first = masked_edges.filter("edge_idx = 0").select("title", "fact", F.col("head_unmasked").alias("node"), F.col("head_type").alias("kind"))
+    two = pairs.select("title", "fact", "aux_fact").join(first.withColumnRenamed("node", "node_1").withColumnRenamed("kind", "kind_1"), KEY)
+    two = two.join(first.select("title", F.col("fact").alias("aux_fact"), F.col("node").alias("node_2"), F.col("kind").alias("kind_2")), ["title", "aux_fact"])
+    left = two.join(own, KEY).withColumn("side", F.lit(0))
+    right = two.join(own.withColumnRenamed("fact", "aux_fact"), ["title", "aux_fact"]).withColumn("side", F.lit(1))
+    edges = left.unionByName(right)
+    kp = keypoints.select("title", F.col("fact"), "keypoints")
+    joint = two.join(kp, KEY, "left").withColumnRenamed("keypoints", "kp_1").join(kp.select("title", F.col("fact").alias("aux_fact"), F.col("keypoints").alias("kp_2")), ["title", "aux_fact"], "left")
+    text = F.array_join(F.concat(F.coalesce("kp_1", F.array().cast("array<string>")), F.coalesce("kp_2", F.array().cast("array<string>"))), "\n")
+    bad = bad_nodes(edges.withColumn("head_coverage", F.lit(None).cast("array<int>")), joint.select(*KEY, F.array(text).alias("keypoints")))
+    spoilt = two.join(bad, KEY).filter("node = node_1 OR node = node_2").select(*KEY).distinct()
+    hide = lambda c: F.when(F.col(c) == F.col("node_1"), UNKNOWN.format(1)).when(F.col(c) == F.col("node_2"), UNKNOWN.format(2)).otherwise(F.col(c))
+    named = lambda n: F.concat(F.lit(f"<Unknown #{n} ("), F.col(f"kind_{n}"), F.lit(")>"))
+    said = joint.select(*KEY, F.replace(F.replace(text, F.col("node_1"), named(1)), F.col("node_2"), named(2)).alias("masked_keypoints"))
+    order = F.row_number().over(Window.partitionBy(*KEY).orderBy("side", "edge_idx")) - 1
+    rows = edges.join(spoilt, KEY, "left_anti").join(said, KEY)
+    return rows.select("title", "fact", "aux_fact", order.alias("edge_idx"), hide("head").alias("head"), F.col("head").alias("head_unmasked"), "head_type", "relation", hide("tail").alias("tail"), F.col("tail").alias("tail_unmasked"), "tail_type", F.lit(2).alias("num_hops"), "masked_keypoints")
+
+
+def statement_rows(edges: DataFrame) -> DataFrame:
+    """SET-5: (title, fact, statement), the distinct statements of relations and types."""
+    said = F.array(F.concat_ws(" ", "head", "relation", "tail"), F.concat_ws(" is a ", "head", "head_type"), F.concat_ws(" is a ", "tail", "tail_type"))
+    return edges.select(*KEY, F.explode(said).alias("statement")).distinct()
+
+
+def complete_graphs(edges: DataFrame, keypoints: DataFrame, verdicts: DataFrame, least: float = 0.5) -> DataFrame:
+    """UDF-7, AGG-20: (title, fact, covered, failed, complete) of every fact with edges.
+
+    covered: the share of the distinct stems of the keypoints (title, fact, keypoints) that edges have; failed: the most statements of one relation
+    that a judge turned down (verdicts: title, fact, relation, tail, ok). Complete needs `least` of the one and at most one of the other.
+    """
+    said = edges.groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "head", "relation", "tail"))), " ").alias("said"))
+    words_ = said.join(keypoints, KEY, "left").select(*KEY, stems(F.coalesce("said", F.lit(""))).alias("s"), stems(F.coalesce(F.array_join("keypoints", " "), F.lit(""))).alias("k"))
+    failed = verdicts.filter(~F.coalesce("ok", F.lit(False))).groupBy(*KEY, "relation").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.max("n").alias("failed"))
+    share = F.when(F.size("k") == 0, 1.0).otherwise(F.size(F.array_intersect("s", "k")) / F.size("k"))
+    rows = words_.select(*KEY, share.alias("covered")).join(failed, KEY, "left").withColumn("failed", F.coalesce("failed", F.lit(0)))
+    return rows.withColumn("complete", (F.col("covered") >= least) & (F.col("failed") <= 1))
+
+
+def leaking(question: Column, gold: Column, most: float = 50.0) -> Column:
+    """FLT-11, FLT-18: whether a question still holds '<Unknown', or the answer's words to `most` per cent; a null question leaks."""
+    return F.coalesce(question.contains("<Unknown") | (word_partial_ratio(gold, question) >= most), F.lit(True))
+
+
+def refined(questions: DataFrame, most: float = 50.0) -> DataFrame:
+    """FLT-18: (.., question): the refined question where it is not empty, without a line feed and doesn't leak the gold answer, else the one before."""
+    new = F.col("refined")
+    fit = (F.coalesce(F.trim(new), F.lit("")) != "") & ~new.contains("\n") & ~leaking(new, F.col("gold"), most)
+    return questions.withColumn("question", F.when(fit, new).otherwise(F.col("question"))).drop("refined")
+
+
 def relation_counts(edges: DataFrame) -> DataFrame:
     """AGG-11: the most that one relation occurs in a fact."""
     return edges.groupBy(*KEY, "relation").count().groupBy(*KEY).agg(F.max("count").alias("most"))

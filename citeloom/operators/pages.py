@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +38,57 @@ def wiki_pages(dump: DataFrame, target_year: str | int, offset: int = 0, limit:
 def citations(raw_facts: DataFrame) -> DataFrame:
     """(title, fact, cite_idx, url, pos): the parallel arrays side by side, repeated rows once."""
     zipped = F.arrays_zip(F.col("citation_urls").alias("url"), F.col("pos").alias("pos"))
-    return raw_facts.dropDuplicates(["title", "fact"]).select("title", "fact", F.posexplode(zipped).alias("cite_idx", "c")).select("title", "fact", "cite_idx", "c.url", "c.pos")
+    one = raw_facts.groupBy("title", "fact").agg(F.min(zipped).alias("z"))
+    return one.select("title", "fact", F.posexplode("z").alias("cite_idx", "c")).select("title", "fact", "cite_idx", "c.url", "c.pos")
+
+
+#: Characters of deny list entries that are broadcast at once; a longer list is gone through in several blocks.
+DENY_BLOCK = 8 << 20
+
+
+def denied_urls(urls: DataFrame, entries: DataFrame, url: str = "url", entry: str = "entry") -> DataFrame:
+    """FLT-5 with a table of entries: the distinct URLs that have an entry anywhere in them. Null and empty entries match nothing, null URLs give no row.
+
+    Each block of entries becomes an automaton (or, without that library, one alternation), so a URL is read once per block whatever the number of entries.
+    """
+    spark = urls.sparkSession
+    rows = urls.select(F.col(url).alias("url")).filter("url IS NOT NULL").distinct()
+    out = spark.createDataFrame([], "url string")
+
+    def hits(words: list[str]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(words)
+
+        def run(batches):
+            try:
+                import ahocorasick
+
+                known = ahocorasick.Automaton()
+                for w in shared.value:
+                    known.add_word(w, 1)
+                known.make_automaton()
+                has = lambda s: next(known.iter(s), None) is not None
+            except ImportError:
+                known = re.compile("|".join(map(re.escape, shared.value)))
+                has = lambda s: known.search(s) is not None
+            for b in batches:
+                yield b[[has(s) for s in b["url"]]]
+
+        return rows.mapInPandas(run, "url string")
+
+    block, size = [], 0
+    for r in entries.select(F.col(entry).alias("e")).filter("e <> ''").distinct().toLocalIterator():
+        block.append(r["e"])
+        size += len(r["e"])
+        if size >= DENY_BLOCK:
+            out, block, size = out.union(hits(block)), [], 0
+    return (out.union(hits(block)) if block else out).distinct()
+
+
+def admitted(urls: DataFrame, entries: DataFrame, url: str = "url", entry: str = "entry") -> DataFrame:
+    """FLT-6 with a table of entries: (url, verdict) of the distinct URLs; an entry turns away the host that it names."""
+    listed = entries.select(F.lower(F.col(entry)).alias("name")).filter("name <> ''").distinct().withColumn("listed", F.lit(True))
+    rows = urls.select(F.col(url).alias("url")).distinct().withColumn("name", U.authority(F.col("url")))
+    return rows.join(listed, "name", "left").select("url", U.admission(F.col("url"), F.coalesce("listed", F.lit(False))).alias("verdict"))
 
 
 def renumbered(cites: DataFrame, strict: bool = False, denied: tuple[str, ...] = U.DENIED) -> DataFrame:
@@ -120,9 +172,12 @@ def section_context(sentences: DataFrame) -> DataFrame:
     w = Window.partitionBy("title").orderBy("sent_idx")
     head = F.col("extracted").startswith("SECTION:").cast("int")
     numbered = sentences.withColumn("section", F.sum(head).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = Window.partitionBy("title", "section").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, 0)
-    lead = numbered.filter("section = 0").groupBy("title").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "extracted"))), lambda x: x["extracted"]), " ").alias("lead"))
-    return numbered.withColumn("context", F.array_join(F.collect_list("extracted").over(s), " ")).join(lead, "title", "left").select("title", "sent_idx", "section", "lead", "context")
+    # each section is collected once; a sentence takes what stands before it
+    parts = numbered.groupBy("title", "section").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "extracted"))).alias("all"))
+    texts = lambda rows: F.array_join(F.transform(rows, lambda x: x["extracted"]), " ")
+    lead = parts.filter("section = 0").select("title", texts(F.col("all")).alias("lead"))
+    before = F.filter("all", lambda x: x["sent_idx"] <= F.col("sent_idx"))
+    return numbered.join(parts, ["title", "section"]).join(lead, "title", "left").select("title", "sent_idx", "section", "lead", texts(before).alias("context"))
 
 
 def rate_slots(requests: DataFrame, key: str, arrival: str, order: str, spacing: float = 6.0) -> DataFrame:

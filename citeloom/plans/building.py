@@ -47,20 +47,43 @@ def wikitext_facts(spark, d):
     return wiki.facts(pages.wiki_pages(read(spark, d, "wiki_dump"), YEAR), urls.DENIED, source="source")
 
 
-_HOST = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://([^/:?#]+)', 1)"
-_SOCIAL = " OR ".join(f"contains(h, '{x}')" for x in urls.DENIED + urls.SOCIAL)
+# fixed values, written here anew and not taken from functions.urls
+_NAME = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1))"
+_VERDICT = """CASE WHEN url IS NULL OR h = '' THEN 'invalid url' WHEN h = 'archive.org' OR contains(h, 'internetarchive.org') THEN 'archive'
+ WHEN {} OR contains(h, 'facebook.com') OR contains(h, 'twitter.com') OR contains(h, 'x.com') OR contains(h, 'github.com') OR contains(h, 'google.com') OR contains(h, 'amazon.com') OR contains(h, 'youtube.com') THEN 'bad domain'
+ WHEN contains(h, 'music') THEN 'music' WHEN contains(lower(url), 'pdf') THEN 'pdf' ELSE 'ok' END"""
+_LISTED = "h IN ('twitter.com', 'x.com', 'books.google.com', 'docs.google.com', 'youtube.com', 'www.facebook.com', 'music', 'porn', 'spotify.com', 'linkedin.com', 'amazon.com')"
 
 
-@query(f"""WITH u AS (SELECT DISTINCT url, {_HOST} AS h FROM url_content)
-SELECT url, CASE WHEN url IS NULL OR h = '' THEN 'invalid url' WHEN contains(h, 'archive.org') OR contains(h, 'internetarchive.org') THEN 'archive' WHEN {_SOCIAL} THEN 'bad domain'
- WHEN contains(lower(url), 'music') THEN 'music' WHEN contains(lower(url), 'pdf') THEN 'pdf' ELSE 'ok' END AS verdict FROM u""")
+@query(f"WITH u AS (SELECT DISTINCT url, {_NAME} AS h FROM url_content) SELECT url, {_VERDICT.format(_LISTED)} AS verdict FROM u")
 def url_admission(spark, d):
     """FLT-6"""
     return read(spark, d, "url_content").select("url").distinct().select("url", urls.admission(F.col("url")).alias("verdict"))
 
 
+# every host of forums and clubs stands in for a long deny list: a table that grows with the data
+_DENY = f"deny AS (SELECT DISTINCT {_NAME} AS entry FROM url_content WHERE contains(lower(url), '-forum.') OR contains(lower(url), '-club.'))"
+
+
+def _deny_table(spark, d):
+    name = urls.authority(F.col("url"))
+    return read(spark, d, "url_content").filter(F.lower("url").contains("-forum.") | F.lower("url").contains("-club.")).select(name.alias("entry")).distinct()
+
+
+@query(f"WITH u AS (SELECT DISTINCT url, {_NAME} AS h FROM url_content), {_DENY} SELECT url, {_VERDICT.format('h IN (SELECT entry FROM deny)')} AS verdict FROM u")
+def url_admission_listed(spark, d):
+    """FLT-6 with the deny list as a table"""
+    return pages.admitted(read(spark, d, "url_content"), _deny_table(spark, d))
+
+
+@query(f"WITH u AS (SELECT DISTINCT url FROM url_content WHERE url IS NOT NULL), {_DENY} SELECT url FROM u WHERE EXISTS (SELECT 1 FROM deny WHERE entry <> '' AND contains(url, entry))")
+def urls_denied(spark, d):
+    """FLT-5 with the deny list as a table, an entry counting anywhere in the URL"""
+    return pages.denied_urls(read(spark, d, "url_content"), _deny_table(spark, d))
+
+
 _CITES = """cites AS (SELECT title, fact, unnest(range(len(citation_urls))) AS cite_idx, unnest(citation_urls) AS url, unnest(pos) AS pos FROM (SELECT DISTINCT ON (title, fact) * FROM raw_facts))"""
-_GOOD = "NOT (contains(url, 'music') OR contains(url, 'porn') OR contains(url, 'blog') OR ends_with(url, '.pdf') OR contains(url, '/pdf/') OR contains(url, '/pdfs/'))"
+_GOOD = "NOT (contains(url, 'twitter.com') OR contains(url, 'x.com') OR contains(url, 'books.google.com') OR contains(url, 'docs.google.com') OR contains(url, 'youtube.com') OR contains(url, 'www.facebook.com') OR contains(url, 'music') OR contains(url, 'porn') OR contains(url, 'spotify.com') OR contains(url, 'linkedin.com') OR contains(url, 'amazon.com') OR ends_with(url, '.pdf') OR contains(url, '/pdf/') OR contains(url, '/pdfs/'))"
 
 
 @query(f"""WITH {_CITES}, good AS (SELECT * FROM cites WHERE url IS NOT NULL AND {_GOOD}),

@@ -307,38 +307,119 @@ def relation_counts(spark, d):
     return graphs.relation_counts(_edges(spark, d))
 
 
-KG = [
-    ("Alder", 1, 0, "Ada Moss", "person", "founded", "Alder Mill", "mill"), ("Alder", 1, 1, "Alder Mill", "mill", "stands in", "Brockton", "town"), ("Alder", 1, 2, "Ada Moss", "person", "born in", "Carrow", "town"),
-    ("Alder", 2, 0, "Alder Mill", "mill", "opened in", "1902", "year"), ("Alder", 2, 1, "Alder Mill", "mill", "sold to", "Dunn Works", "company"),
-    ("Alder", 3, 0, "Brockton", "town", "lies on", "River Esk", "river"), ("Birch", 1, 0, "Eve Hart", "person", "wrote", "Night Ferry", "book"), ("Birch", 2, 0, "Night Ferry", "book", "won", "Reed Prize", "award"),
-]
-_KG_TYPE = "title string, fact int, edge_idx int, head string, head_type string, relation string, tail string, tail_type string"
+# graphs of two facts a customer: where it lives, and where that nation lies
+_KG = """kg AS (SELECT c_name AS title, 1 AS fact, 0 AS edge_idx, c_name AS head, 'customer' AS head_type, 'lives in' AS relation, n_name AS tail, 'nation' AS tail_type FROM customer JOIN nation ON c_nationkey = n_nationkey
+ UNION ALL SELECT c_name, 1, 1, n_name, 'nation', 'hosts', c_mktsegment, 'segment' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0
+ UNION ALL SELECT c_name, 2, 0, n_name, 'nation', 'lies in', r_name, 'continent' FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def _kg(spark):
-    return spark.createDataFrame(KG, _KG_TYPE)
+def _kg(spark, d):
+    c = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    edge = lambda fact, i, h, ht, rel, t, tt: F.struct(F.lit(fact).alias("fact"), F.lit(i).alias("edge_idx"), F.col(h).alias("head"), F.lit(ht).alias("head_type"), F.lit(rel).alias("relation"), F.col(t).alias("tail"), F.lit(tt).alias("tail_type"))
+    some = F.array(edge(1, 0, "c_name", "customer", "lives in", "n_name", "nation"), edge(2, 0, "n_name", "nation", "lies in", "r_name", "continent"))
+    more = F.when(F.col("c_acctbal") > 0, F.array(edge(1, 1, "n_name", "nation", "hosts", "c_mktsegment", "segment"))).otherwise(F.array())
+    return c.select(F.col("c_name").alias("title"), F.explode(F.concat(some, more)).alias("e")).select("title", "e.*")
 
 
-def _kg_bad(spark):
-    return spark.createDataFrame([], "title string, fact int, node string")
+def _kg_keypoints(spark, d):
+    """What the facts say; every third customer's first fact leaves the customer out."""
+    e = _kg(spark, d).filter("edge_idx = 0").withColumn("number", F.substring("title", -9, 9).cast("int"))
+    said = F.when((F.col("fact") == 1) & (F.col("number") % 3 == 0), F.concat(F.lit("Somebody lives in "), F.col("tail"))).otherwise(F.concat_ws(" ", "head", "relation", "tail"))
+    more = _kg(spark, d).filter("edge_idx = 1").select("title", "fact", F.concat_ws(" ", "head", "relation", "tail").alias("m"))
+    return e.join(more, ["title", "fact"], "left").select("title", "fact", F.array_compact(F.array(said, "m")).alias("keypoints"))
 
 
-@query()
+_NUMBER = "CAST(right(title, 9) AS INTEGER)"
+
+
+@query(f"WITH {_KG} SELECT title, fact, head AS node FROM kg WHERE fact = 1 AND edge_idx = 0 AND {_NUMBER} % 3 = 0")
+def kg_missing_nodes(spark, d):
+    """GR-2, GR-3, JOIN-17, JOIN-18, SET-1: the bad nodes by all rules; here only that of nodes that the keypoints don't name finds any"""
+    edges = _kg(spark, d).withColumn("head_coverage", F.lit(None).cast("array<int>"))
+    return graphs.bad_nodes(edges, _kg_keypoints(spark, d))
+
+
+@query(f"""WITH {_KG} SELECT title, fact, edge_idx, CASE WHEN edge_idx = 0 THEN '<Unknown> #1' ELSE head END AS head, head AS head_unmasked, head_type, relation, tail, tail AS tail_unmasked, tail_type FROM kg WHERE NOT (fact = 1 AND {_NUMBER} % 3 = 0)
+UNION ALL SELECT title, fact, CAST(1 - edge_idx AS INTEGER), CASE WHEN edge_idx = 1 THEN '<Unknown> #1' ELSE head END, head, head_type, relation, CASE WHEN edge_idx = 0 THEN '<Unknown> #1' ELSE tail END, tail, tail_type FROM kg k
+WHERE fact = 1 AND {_NUMBER} % 3 = 0 AND EXISTS (SELECT 1 FROM kg x WHERE x.title = k.title AND x.edge_idx = 1)""")
 def kg_masks(spark, d):
-    """GR-1, GR-4, GR-5 on a fixture"""
-    return graphs.masked(_kg(spark), _kg_bad(spark))
+    """GR-1, GR-4, GR-5: the first good head is masked; where the customer isn't named that is the nation"""
+    return graphs.masked(_kg(spark, d), kg_missing_nodes(spark, d))
+
 
+def _kg_masked(spark, d):
+    return graphs.masked(_kg(spark, d), kg_missing_nodes(spark, d))
 
-@query("SELECT * FROM (VALUES ('Alder', 1, 2, 'Alder Mill'), ('Birch', 1, 2, 'Night Ferry')) AS t(title, fact, aux_fact, node)")
+
+@query(f"WITH {_KG} SELECT title, fact, 2 AS aux_fact, tail AS node FROM kg WHERE fact = 1 AND edge_idx = 0 AND {_NUMBER} % 3 <> 0")
 def kg_two_hop(spark, d):
-    """JOIN-4, GR-9 on a fixture"""
-    return graphs.two_hop(graphs.masked(_kg(spark), _kg_bad(spark)))
+    """JOIN-4"""
+    return graphs.two_hop(_kg_masked(spark, d))
+
+
+@query(f"""WITH {_KG}, good AS (SELECT *, max(CASE WHEN edge_idx = 0 AND fact = 1 THEN tail END) OVER (PARTITION BY title) AS nation FROM kg WHERE {_NUMBER} % 3 <> 0)
+SELECT title, 1 AS fact, 2 AS aux_fact, CAST(row_number() OVER (PARTITION BY title ORDER BY fact, edge_idx) - 1 AS INTEGER) AS edge_idx, CASE WHEN head = title THEN '<Unknown> #1' WHEN head = nation THEN '<Unknown> #2' ELSE head END AS head, head AS head_unmasked, relation,
+CASE WHEN tail = nation THEN '<Unknown> #2' ELSE tail END AS tail, tail AS tail_unmasked, 2 AS num_hops FROM good""")
+def kg_combined(spark, d):
+    """GR-9: both graphs of a two-hop pair as one, masked anew"""
+    m = _kg_masked(spark, d)
+    return graphs.combined(m, _kg_keypoints(spark, d), graphs.two_hop(m)).select("title", "fact", "aux_fact", "edge_idx", "head", "head_unmasked", "relation", "tail", "tail_unmasked", "num_hops")
 
 
-@query("SELECT * FROM (VALUES ('town', 2), ('award', 1), ('book', 1), ('company', 1), ('mill', 1), ('person', 2), ('river', 1), ('year', 1)) AS t(type, n_nodes)")
+@query(f"WITH {_KG} SELECT type, count(DISTINCT node) AS n_nodes FROM (SELECT head_type AS type, head AS node FROM kg UNION ALL SELECT tail_type, tail FROM kg) GROUP BY type")
 def kg_node_types(spark, d):
-    """AGG-15, LIM-9 on a fixture"""
-    return graphs.node_types(_kg(spark))
+    """AGG-15, LIM-9"""
+    return graphs.node_types(_kg(spark, d))
+
+
+@query(f"WITH {_KG} SELECT DISTINCT title, fact, statement FROM (SELECT title, fact, head || ' ' || relation || ' ' || tail AS statement FROM kg UNION ALL SELECT title, fact, head || ' is a ' || head_type FROM kg UNION ALL SELECT title, fact, tail || ' is a ' || tail_type FROM kg)")
+def kg_statements(spark, d):
+    """SET-5"""
+    return graphs.statement_rows(_kg(spark, d))
+
+
+@query(f"WITH {_KG}, f AS (SELECT title, fact, max(n) AS failed FROM (SELECT title, fact, relation, count(*) AS n FROM kg WHERE length(tail) % 2 = 0 GROUP BY ALL) GROUP BY title, fact) SELECT DISTINCT title, fact, coalesce(failed, 0) AS failed FROM kg LEFT JOIN f USING (title, fact)")
+def kg_failures(spark, d):
+    """UDF-7, AGG-20: the most failed statements of one relation; tails of an even length stand for what a judge turns down"""
+    e = _kg(spark, d)
+    verdicts = e.select("title", "fact", "relation", "tail", (F.length("tail") % 2 == 1).alias("ok"))
+    return graphs.complete_graphs(e, _kg_keypoints(spark, d), verdicts).select("title", "fact", "failed")
+
+
+@query(f"WITH {_KG} SELECT title, fact, string_agg((edge_idx + 1) || '. ' || head || ' [' || head_type || '] | ' || relation || ' | ' || tail || ' [' || tail_type || ']', chr(10) ORDER BY edge_idx) AS prompt FROM kg GROUP BY title, fact")
+def kg_prompts(spark, d):
+    """STR-33, STR-18"""
+    e = _kg(spark, d).groupBy("title", "fact").agg(F.sort_array(F.collect_list(F.struct("edge_idx", "head", "head_type", "relation", "tail", "tail_type"))).alias("e"))
+    return e.select("title", "fact", text.render("{edges}", edges=text.render_edges(F.col("e"))).alias("prompt"))
+
+
+@query("""SELECT c_custkey, list_filter([CASE WHEN contains(k[1], n_name) THEN 0 END, CASE WHEN contains(k[2], n_name) THEN 1 END], lambda x: x IS NOT NULL) AS cov, n_name AS restored
+FROM (SELECT c_custkey, n_name, [c_name || ' lives in ' || n_name, CASE WHEN c_acctbal > 0 THEN n_name || ' hosts' ELSE 'none' END] AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)""".replace("list_filter([", "array_to_string(list_filter([").replace("x IS NOT NULL) AS cov", "x IS NOT NULL), ',') AS cov"))
+def keypoint_coverage(spark, d):
+    """STR-16, STR-17"""
+    c = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.array(F.concat_ws(" lives in ", "c_name", "n_name"), F.when(F.col("c_acctbal") > 0, F.concat(F.col("n_name"), F.lit(" hosts"))).otherwise(F.lit("none")))
+    return c.select("c_custkey", F.array_join(text.coverage(k, F.col("n_name")).cast("array<string>"), ",").alias("cov"), text.restore_case(F.lower("n_name"), F.element_at(k, 1)).alias("restored"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN false ELSE false END AS grounded, CASE WHEN doc_id % 2 = 0 THEN 2 END AS n_keypoints, CASE WHEN doc_id % 5 = 0 THEN 7 ELSE 0 END AS reasoning, CAST(doc_id AS VARCHAR) || ' U.S. 12' AS cite FROM documents""")
+def reply_fields(spark, d):
+    """STR-13, STR-14, STR-30, JSON-1: replies made from the ids of documents"""
+    i = F.col("doc_id")
+    verdict = F.when(i % 3 == 0, "Grounded").when(i % 3 == 1, "Not Grounded, though Grounded before").otherwise("unclear")
+    reply = F.when(i % 2 == 0, '##KEYPOINTS##: ["one", "two"]').otherwise('["one"]')
+    raw = F.when(i % 5 == 0, '{"usage": {"output_tokens_details": {"reasoning_tokens": 7}}}').otherwise("not json")
+    cite = text.case_citations(F.concat(F.lit("In <em>Moss v. Hart</em>, "), i.cast("string"), F.lit(" U.S. 12 the court said")))
+    first = F.get(cite, F.lit(0))
+    return read(spark, d, "documents").select("doc_id", text.grounded_verdict(verdict).alias("grounded"), F.size(text.parse_keypoints(reply, F.lit("a [KP] b [KP]"))).alias("n"), text.reasoning_tokens(raw).alias("reasoning"), F.concat_ws(" ", first["volume"], first["reporter"], first["page"]).alias("cite")).select("doc_id", "grounded", F.when(F.col("n") > 0, F.col("n")).alias("n_keypoints"), "reasoning", "cite")
+
+
+@query("""WITH q AS (SELECT doc_id, line, line_no, CASE WHEN length(line) % 4 = 0 THEN 0 ELSE 1 END AS ok FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, count(*) AS n FROM (SELECT doc_id, min(ok) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS good FROM q) WHERE good = 1 GROUP BY doc_id""")
+def answerable_questions(spark, d):
+    """FLT-17: lines stand for the questions of a document, their length for the judge's reply"""
+    lines = read(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("title"), F.posexplode(F.split("text", "\n", -1)).alias("question_no", "question")).withColumn("fact", F.lit(0))
+    return pages.answerable(lines.withColumn("reply", F.when(F.length("question") % 4 == 0, "A.").otherwise("B."))).groupBy(F.col("title").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -359,7 +440,7 @@ def text_measures(spark, d):
 
 
 @query(r"""SELECT title, page_id, len(f) AS n_urls, CASE WHEN len(f) = 0 THEN NULL WHEN len(f) > 1 AND len(list_filter(f, lambda x: contains(x, 'web.archive.org'))) > 0 THEN list_filter(f, lambda x: contains(x, 'web.archive.org'))[1] ELSE f[1] END AS first_url
-FROM (SELECT DISTINCT title, page_id, regexp_extract_all(source_text, '(https?://[^\s|\]\}<>"]+)', 1) AS f FROM wiki_dump WHERE source_text IS NOT NULL)""")
+FROM (SELECT DISTINCT title, page_id, regexp_extract_all(source_text, '(https?://[\p{L}\p{N}_\-.]+(?:\.[a-z]{2,})+(?:/[\p{L}\p{N}_\-.~:/?#\[\]@!$&''()*+,;=%]*)?)', 1) AS f FROM wiki_dump WHERE source_text IS NOT NULL)""")
 def citation_urls(spark, d):
     """STR-7 over whole page sources"""
     rows = read(spark, d, "wiki_dump").filter("source_text IS NOT NULL")
@@ -394,14 +475,16 @@ def year_phrases(spark, d):
     return rows.select("page_id", dates.year_phrase(F.col("y"), F.lit(2024)).alias("phrase"))
 
 
-JUDGED = [("Paris", "paris.", "A"), ("I don't know", "Rome", "C"), ("I don’t know the answer", "Rome", "NOT_ATTEMPTED"), ("False premise question", "False premise question", "INCORRECT"), ("It is a false premise question.", "Oslo", "B: wrong"), ("Bern", "Basel", "correct")]
-
-
-@query("""SELECT * FROM (VALUES (0, 'CORRECT', 'CORRECT', 'CORRECT'), (1, 'NOT_ATTEMPTED', 'NOT_ATTEMPTED', 'NOT_ATTEMPTED'), (2, 'NOT_ATTEMPTED', 'NOT_ATTEMPTED', 'CORRECT'), (3, 'CORRECT', 'INCORRECT', 'NOT_ATTEMPTED'), (4, 'INCORRECT', 'INCORRECT', 'INCORRECT'), (5, NULL, 'CORRECT', 'INCORRECT')) AS t(i, rule, strict, compat)""")
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'NOT_ATTEMPTED' WHEN 2 THEN 'NOT_ATTEMPTED' WHEN 3 THEN 'CORRECT' WHEN 4 THEN 'INCORRECT' END AS rule,
+CASE doc_id % 6 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'NOT_ATTEMPTED' WHEN 2 THEN 'NOT_ATTEMPTED' WHEN 3 THEN 'INCORRECT' WHEN 4 THEN 'INCORRECT' ELSE 'CORRECT' END AS strict, CASE doc_id % 6 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'NOT_ATTEMPTED' WHEN 2 THEN 'CORRECT' WHEN 3 THEN 'NOT_ATTEMPTED' ELSE 'INCORRECT' END AS compat FROM documents""")
 def judge_rules(spark, d):
-    """STR-10, STR-11, STR-12 on a fixture"""
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(JUDGED)], "i int, prediction string, gold string, reply string")
-    return rows.select("i", text.rule_verdict(F.col("prediction"), F.col("gold")).alias("rule"), text.judge_verdict(F.col("reply")).alias("strict"), text.judge_verdict(F.col("reply"), compat=True).alias("compat"))
+    """STR-10, STR-11, STR-12: each document bears one of six forms of prediction, gold answer and reply"""
+    i = F.col("doc_id") % 6
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (i + 1).cast("int"))
+    prediction = F.when(i == 0, F.concat(F.lit('"'), F.coalesce("source", F.lit("x")), F.lit('."'))).otherwise(pick("", "I don't know", "I don’t know the answer", "False premise question", "It is a false premise question.", "Bern"))
+    gold = F.when(i == 0, F.upper(F.coalesce("source", F.lit("x")))).otherwise(pick("", "Rome", "Rome", "False premise question", "Oslo", "Basel"))
+    reply = pick("A", "C", "NOT_ATTEMPTED", "INCORRECT", "B: wrong", "correct")
+    return read(spark, d, "documents").select("doc_id", text.rule_verdict(prediction, gold).alias("rule"), text.judge_verdict(reply).alias("strict"), text.judge_verdict(reply, compat=True).alias("compat"))
 
 
 @query("""SELECT lower(event_type) AS event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS k_sum FROM events GROUP BY 1""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,11 +70,13 @@ def write_qrels(df: DataFrame, path: str) -> None:
 
 
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
-    """SNK-4: appends the rows whose keys an earlier run hasn't written."""
+    """SNK-4: appends the rows whose keys an earlier run hasn't written; a folder that can't be read raises, only a missing one is begun."""
     spark = df.sparkSession
     try:
         done = spark.read.parquet(path).select(*keys).distinct()
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         df.write.parquet(path)
         return
     df.join(done, keys, "left_anti").write.mode("append").parquet(path)

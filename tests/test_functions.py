@@ -69,7 +69,7 @@ def test_titles_may_hold_dashes(spark):
 
 
 def test_admission_order(spark):
-    for url, verdict in {None: "invalid url", "x": "invalid url", "http://web.archive.org/a.pdf": "archive", "https://m.facebook.com/": "bad domain", "http://a.example/Music": "music", "http://a.example/x.PDF": "pdf", "http://a.example/": "ok"}.items():
+    for url, verdict in {None: "invalid url", "x": "invalid url", "http://archive.org/a.pdf": "archive", "http://web.archive.org/web/1/http://a.example": "ok", "http://x.internetarchive.org/": "archive", "https://m.facebook.com/": "bad domain", "https://sub.github.com/": "bad domain", "https://spotify.com/": "bad domain", "https://open.spotify.com/": "ok", "http://blog.example/": "ok", "http://a.example/Music": "ok", "http://Music.example/": "music", "http://a.example/x.PDF": "pdf", "http://a.example/": "ok"}.items():
         assert one(spark, admission(F.col("a")), a=url) == verdict
 
 

@@ -87,10 +87,39 @@ def test_masking_prunes_what_is_not_connected(spark):
     bad = spark.createDataFrame([("T", 1, n) for n in ("Ada Moss", "Old Mill", "Far Isle")], none.schema)
     assert graphs.masked(edges, bad).count() == 0
     late = [{"head": h, "head_type": "", "relation": "", "tail": t, "tail_type": ""} for h, t in (("a", "b"), ("c", "d"), ("b", "c"))]
-    assert len(graphs.mask_single(late, set())) == 2 and len(graphs.mask_single(late, set(), compat=False)) == 3
+    assert len(graphs.mask_single(late, set(), compat=True)) == 2 and len(graphs.mask_single(late, set())) == 3
     assert graphs.mask_text("Ada Moss ran", "Ada Moss", "person") == "<Unknown #1 (person)> ran"
 
 
+def test_deny_list_as_a_table(spark, monkeypatch):
+    from citeloom.operators import pages as P
+
+    df = spark.createDataFrame([("http://a.bad.example/x", 1), ("http://good.example/?u=bad.example", 2), ("http://good.example/", 3), (None, 4), ("http://bad.example", 5)], "url string, entry int")
+    entries = spark.createDataFrame([("bad.example",), ("",), (None,), ("zzz",), ("bad.example",)], "entry string")
+    want = {"http://a.bad.example/x", "http://good.example/?u=bad.example", "http://bad.example"}
+    assert {r["url"] for r in P.denied_urls(df, entries).collect()} == want
+    monkeypatch.setattr(P, "DENY_BLOCK", 1)
+    assert {r["url"] for r in P.denied_urls(df, entries).collect()} == want
+    assert P.denied_urls(df, entries.limit(0)).count() == 0
+    assert {r["url"]: r["verdict"] for r in P.admitted(df, entries).collect()} == {"http://a.bad.example/x": "ok", "http://good.example/?u=bad.example": "ok", "http://good.example/": "ok", None: "invalid url", "http://bad.example": "bad domain"}
+
+
+def test_refined_questions(spark):
+    df = spark.createDataFrame([(1, "Who ran?", "Who ran the mill?", "Ada Moss"), (2, "Who ran?", "", "Ada"), (3, "Who ran?", "Did Ada Moss run?", "Ada Moss"), (4, "Who ran?", "Who\nran", "x"), (5, "Who ran?", None, "x"), (6, "Who ran?", "What of <Unknown> #1?", "x")], "i int, question string, refined string, gold string")
+    got = {r["i"]: r["question"] for r in graphs.refined(df).collect()}
+    assert got == {1: "Who ran the mill?", **dict.fromkeys(range(2, 7), "Who ran?")}
+
+
+def test_combined_graphs(spark):
+    kg = [("T", 1, 0, "Ada Moss", "person", "founded", "Old Mill", "mill"), ("T", 2, 0, "Old Mill", "mill", "stands in", "Brock", "town"), ("U", 1, 0, "Eve", "person", "wrote", "Night Song", "book"), ("U", 2, 0, "Night Song", "book", "won", "Reed Prize", "award")]
+    edges = spark.createDataFrame(kg, EDGE)
+    m = graphs.masked(edges, spark.createDataFrame([], "title string, fact int, node string"))
+    kp = spark.createDataFrame([("T", 1, ["Ada Moss founded Old Mill"]), ("T", 2, ["Old Mill stands in Brock"]), ("U", 1, ["Somebody wrote Night Song"]), ("U", 2, ["Night Song won Reed Prize"])], "title string, fact int, keypoints array<string>")
+    got = sorted((r["title"], r["edge_idx"], r["head"], r["tail"], r["masked_keypoints"]) for r in graphs.combined(m, kp, graphs.two_hop(m)).collect())
+    said = "<Unknown #1 (person)> founded <Unknown #2 (mill)>\n<Unknown #2 (mill)> stands in Brock"
+    assert got == [("T", 0, "<Unknown> #1", "<Unknown> #2", said), ("T", 1, "<Unknown> #2", "Brock", said)]
+
+
 def test_bad_nodes(spark):
     kg = [("T", 1, 0, "Ada Moss", "p", "met", "Bo and Cy", "p", [0], [0]), ("T", 1, 1, "Ada Moss Junior", "p", "saw", "rowed the lake", "x", [0, 1], [0]), ("T", 1, 2, "Dee", "p", "met", "Eve", "p", [0, 1], [0])]
     edges = spark.createDataFrame(kg, EDGE + ", head_coverage array<int>, tail_coverage array<int>")
