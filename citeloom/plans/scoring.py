@@ -121,6 +121,13 @@ def dense_metrics(spark, d):
     return metrics.summary(retrieval.knn(docs, asked, 100), rels)
 
 
+@query(f"WITH {_KNN} SELECT query_id, count(*) AS n, max(CAST(rank AS INTEGER)) AS last, max(score) AS top, min(score) AS least FROM top WHERE rank <= 1000 GROUP BY query_id")
+def dense_thousand(spark, d):
+    """LIM-2, WIN-8: the first 1000 of every query, as the dense evaluation keeps them"""
+    run = retrieval.knn(*_vectors(spark, d), 1000)
+    return run.groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.max("score").alias("top"), F.min("score").alias("least"))
+
+
 @query(f"""WITH {_bm25_sql(_CORPUS, 20)}, s AS (SELECT query_id, doc_id, list_distinct({_TOK.format("q.text")}) AS q, list_distinct({_TOK.format("c.t")}) AS w FROM bm JOIN queries q ON q._id = query_id JOIN bdocs c ON c.d = doc_id),
 r AS (SELECT query_id, doc_id, CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0.0 END AS score FROM s)
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r""")
@@ -344,11 +351,12 @@ UNION ALL SELECT title, fact, CAST(1 - edge_idx AS INTEGER), CASE WHEN edge_idx
 WHERE fact = 1 AND {_NUMBER} % 3 = 0 AND EXISTS (SELECT 1 FROM kg x WHERE x.title = k.title AND x.edge_idx = 1)""")
 def kg_masks(spark, d):
     """GR-1, GR-4, GR-5: the first good head is masked; where the customer isn't named that is the nation"""
-    return graphs.masked(_kg(spark, d), kg_missing_nodes(spark, d))
+    return _kg_masked(spark, d)
 
 
 def _kg_masked(spark, d):
-    return graphs.masked(_kg(spark, d), kg_missing_nodes(spark, d))
+    unnamed = _kg(spark, d).filter((F.col("fact") == 1) & (F.col("edge_idx") == 0) & (F.substring("title", -9, 9).cast("int") % 3 == 0))
+    return graphs.masked(_kg(spark, d), unnamed.select("title", "fact", F.col("head").alias("node")))
 
 
 @query(f"WITH {_KG} SELECT title, fact, 2 AS aux_fact, tail AS node FROM kg WHERE fact = 1 AND edge_idx = 0 AND {_NUMBER} % 3 <> 0")
@@ -402,7 +410,7 @@ def keypoint_coverage(spark, d):
     return c.select("c_custkey", F.array_join(text.coverage(k, F.col("n_name")).cast("array<string>"), ",").alias("cov"), text.restore_case(F.lower("n_name"), F.element_at(k, 1)).alias("restored"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN false ELSE false END AS grounded, CASE WHEN doc_id % 2 = 0 THEN 2 END AS n_keypoints, CASE WHEN doc_id % 5 = 0 THEN 7 ELSE 0 END AS reasoning, CAST(doc_id AS VARCHAR) || ' U.S. 12' AS cite FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN false ELSE false END AS grounded, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS n_keypoints, CASE WHEN doc_id % 5 = 0 THEN 7 ELSE 0 END AS reasoning, CAST(doc_id AS VARCHAR) || ' U.S. 12' AS cite FROM documents""")
 def reply_fields(spark, d):
     """STR-13, STR-14, STR-30, JSON-1: replies made from the ids of documents"""
     i = F.col("doc_id")
@@ -411,7 +419,7 @@ def reply_fields(spark, d):
     raw = F.when(i % 5 == 0, '{"usage": {"output_tokens_details": {"reasoning_tokens": 7}}}').otherwise("not json")
     cite = text.case_citations(F.concat(F.lit("In <em>Moss v. Hart</em>, "), i.cast("string"), F.lit(" U.S. 12 the court said")))
     first = F.get(cite, F.lit(0))
-    return read(spark, d, "documents").select("doc_id", text.grounded_verdict(verdict).alias("grounded"), F.size(text.parse_keypoints(reply, F.lit("a [KP] b [KP]"))).alias("n"), text.reasoning_tokens(raw).alias("reasoning"), F.concat_ws(" ", first["volume"], first["reporter"], first["page"]).alias("cite")).select("doc_id", "grounded", F.when(F.col("n") > 0, F.col("n")).alias("n_keypoints"), "reasoning", "cite")
+    return read(spark, d, "documents").select("doc_id", text.grounded_verdict(verdict).alias("grounded"), F.size(text.parse_keypoints(reply, F.lit("a [KP] b [KP]"))).alias("n"), text.reasoning_tokens(raw).alias("reasoning"), F.concat_ws(" ", first["volume"], first["reporter"], first["page"]).alias("cite")).select("doc_id", "grounded", F.coalesce(F.greatest("n", F.lit(0)), F.lit(0)).alias("n_keypoints"), "reasoning", "cite")
 
 
 @query("""WITH q AS (SELECT doc_id, line, line_no, CASE WHEN length(line) % 4 = 0 THEN 0 ELSE 1 END AS ok FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL))

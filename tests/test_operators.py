@@ -61,6 +61,15 @@ def test_bm25_against_brute_force(spark):
     assert retrieval.bm25(d.limit(0), q, 5).count() == 0 and retrieval.bm25(d, q.limit(0), 5).count() == 0
 
 
+def test_best_keeps_ties_in_order():
+    best = retrieval.Best(2, 2)
+    best.most = 3
+    for doc, score in (("c", 1.0), ("a", 1.0), ("b", 2.0), ("d", 0.5)):
+        best.add(np.array([0, 1]), np.array([doc, doc], object), np.array([score, -score]))
+    got = best.result(["q", "r"])
+    assert list(zip(got["query_id"], got["doc_id"])) == [("q", "b"), ("q", "a"), ("r", "d"), ("r", "a")]
+
+
 def test_knn_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(40, 4)).round(3)
