@@ -93,11 +93,14 @@ class Models:
         return self.codes[np.minimum(points, len(self.codes) - 1)]
 
     def index(self) -> list[np.ndarray]:
-        """Per order a table (row of the context, symbol) -> row, built from the sorted arrays once per process; the last row stands for none."""
+        """Per order a table (row of the context, symbol) -> row, built from the sorted arrays once per process; the last row stands for none.
+
+        full holds the interpolated probability of every n-gram of an order, so that only what was never seen backs off.
+        """
         if self.tables is None:
             self.tables = [np.empty(0), np.arange(1 << BITS)]
-            self.adds_ = [np.vstack([a, np.zeros((1, a.shape[1]), np.float32)]) if a.ndim == 2 else a for a in self.adds]
             self.backs_ = [np.vstack([a, np.ones((1, a.shape[1]), np.float32)]) if a.ndim == 2 else a for a in self.backs]
+            self.full = [np.empty(0), self.base]
             for k in range(2, ORDER + 1):
                 above, rows = self.keys[k - 1], self.keys[k]
                 table = np.full((len(above) + 1, 1 << BITS), len(rows), np.int32)
@@ -105,24 +108,50 @@ class Models:
                 fits = above[np.minimum(at, len(above) - 1)] == rows >> BITS
                 table[at[fits], (rows & ((1 << BITS) - 1))[fits]] = np.flatnonzero(fits)
                 self.tables.append(table)
+                # the probability that its last k - 1 symbols have, as if they stood alone
+                low = np.searchsorted(above, rows & ((1 << (BITS * (k - 1))) - 1))
+                context = np.where(fits, at, len(above))
+                full = self.adds[k] + self.backs_[k][context] * self.full[k - 1][np.minimum(low, len(above) - 1)]
+                self.full.append(np.vstack([full, np.ones((1, full.shape[1]), np.float32)]).astype(np.float32))
+            self.bits = -np.log2(self.full[ORDER])
         return self.tables
 
     def score(self, text: str) -> np.ndarray:
         """Bits of every character in every language, given the characters before it."""
         tables = self.index()
         s = self.encode(text)
-        p = self.base[s]
-        at = s
+        ats = [np.empty(0, np.int64), s]
         for k in range(2, ORDER + 1):
             if len(s) < k:
                 break
             # the context of the k-gram that ends here is the (k-1)-gram that ended one character before
-            context = at[:-1]
-            at = tables[k][context, s[k - 1 :]]
-            tail = p[k - 1 :]
-            tail *= self.backs_[k].take(context, axis=0)
-            tail += self.adds_[k].take(at, axis=0)
-        return -np.log2(p)
+            ats.append(tables[k][ats[-1][:-1], s[k - 1 :]])
+        top = len(ats) - 1
+        if top == ORDER:
+            out = np.empty((len(s), len(self.langs)), np.float32)
+            np.take(self.bits, ats[ORDER], axis=0, out=out[ORDER - 1 :])
+            left = np.flatnonzero(np.concatenate([np.ones(ORDER - 1, bool), ats[ORDER] == len(self.keys[ORDER])]))
+        else:
+            out, left = np.empty((len(s), len(self.langs)), np.float32), np.arange(len(s))
+        if len(left):
+            out[left] = -np.log2(self._back(left, ats, min(top, ORDER)))
+        return out
+
+    def _back(self, at: np.ndarray, ats: list[np.ndarray], k: int) -> np.ndarray:
+        """Probabilities at the positions `at`, where the k-grams that end there may never have been seen."""
+        if k == 1:
+            return self.full[1][ats[1][at]]
+        out = np.empty((len(at), len(self.langs)), np.float32)
+        early = at < k - 1
+        rows = ats[k][np.maximum(at - (k - 1), 0)]
+        seen = ~early & (rows != len(self.keys[k]))
+        out[seen] = self.full[k][rows[seen]]
+        rest = ~seen
+        if rest.any():
+            out[rest] = self._back(at[rest], ats, k - 1)
+            late = rest & ~early
+            out[late] *= self.backs_[k][ats[k - 1][at[late] - (k - 1)]]
+        return out
 
 
 def train(samples: list[tuple[str, str]]) -> Models:
@@ -285,8 +314,10 @@ def identify(text: str, models: Models) -> tuple[str | None, float, list[tuple[s
     if not spans:
         spans = [(0, len(text), 0)]
     a, b, block = np.array(spans).T
-    run = np.vstack([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)])
-    sums = run[b] - run[a]
+    # sentences don't overlap: sums of the stretches from start to end, those between them left out
+    edges = np.append(np.column_stack([a, b]).ravel(), len(bits))
+    padded = np.vstack([bits, np.zeros((1, bits.shape[1]), bits.dtype)])
+    sums = np.add.reduceat(padded, edges[:-1], axis=0)[::2].astype(np.float64)
     best = np.argmin(sums, axis=1)
     rows = np.arange(len(spans))
     trust = probabilities(sums, models.temperature)
