@@ -19,7 +19,7 @@ from ..functions.parallel import spread
 from .common import MULT, WordHash, cut, mix, read
 
 #: Bounds of the fitted sample: documents with confirmed verdicts, and unlabelled documents, chosen by the hash of their key.
-MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
+MOST_POSITIVE, MOST_UNLABELLED = 3000, 12000
 #: A document above this score is toxic.
 THRESHOLD = 0.4
 WINDOW = 14
