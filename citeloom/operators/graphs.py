@@ -79,6 +79,22 @@ def bad_nodes(edges: DataFrame, keypoints: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def bad_of(edges: list[tuple[str, str, str]], keypoints: list[str]) -> set[str]:
+    """GR-2 for one graph (head, relation, tail) without coverage indexes, where graphs are rows and a join for each rule would cost more than the graph."""
+    names = list(dict.fromkeys(x for h, _, t in edges for x in (h, t)))
+    said, split = "\n".join(keypoints), {x: words(x) for x in [*names, *(r for _, r, _ in edges)]}
+    like = lambda a, b: partial_ratio(split[a], split[b]) >= SIMILAR
+    ends: dict[tuple[str, int], set[str]] = {}
+    for h, r, t in edges:
+        ends.setdefault((r, 0), set()).add(h)
+        ends.setdefault((r, 1), set()).add(t)
+    several = {x for group in ends.values() if len(group) > 1 for x in group}
+    return {
+        x for x in names
+        if x in several or x not in said or not proper_noun(x) or any(p in x for p in PLURAL) or any(like(x, r) for _, r, _ in edges) or any(y != x and like(x, y) for y in names)
+    }
+
+
 def spanning_edges(triples: list[tuple[str, str]]) -> set[frozenset]:
     """GR-5: the edges of the tree that Prim's algorithm grows from the first head, unit weights, ties in order of the names."""
     near: dict[str, set[str]] = {}
@@ -174,8 +190,14 @@ def combined(masked_edges: DataFrame, keypoints: DataFrame, pairs: DataFrame) ->
     kp = keypoints.select("title", F.col("fact"), "keypoints")
     joint = two.join(kp, KEY, "left").withColumnRenamed("keypoints", "kp_1").join(kp.select("title", F.col("fact").alias("aux_fact"), F.col("keypoints").alias("kp_2")), ["title", "aux_fact"], "left")
     text = F.array_join(F.concat(F.coalesce("kp_1", F.array().cast("array<string>")), F.coalesce("kp_2", F.array().cast("array<string>"))), "\n")
-    bad = bad_nodes(edges.withColumn("head_coverage", F.lit(None).cast("array<int>")), joint.select(*KEY, F.array(text).alias("keypoints")))
-    spoilt = two.join(bad, KEY).filter("node = node_1 OR node = node_2").select(*KEY).distinct()
+    # a joint graph has tens of edges and travels as one row
+    graph = edges.groupBy(*KEY).agg(F.collect_list(F.struct("head", "relation", "tail")).alias("graph"), F.first("node_1").alias("node_1"), F.first("node_2").alias("node_2"))
+
+    @F.pandas_udf("boolean")
+    def spoils(graphs: pd.Series, said: pd.Series, one: pd.Series, two_: pd.Series) -> pd.Series:
+        return pd.Series([not {a, b}.isdisjoint(bad_of([(e["head"], e["relation"], e["tail"]) for e in g], [t])) for g, t, a, b in zip(graphs, said, one, two_)], dtype="bool")
+
+    spoilt = graph.join(joint.select(*KEY, text.alias("said")), KEY).filter(spoils("graph", "said", "node_1", "node_2")).select(*KEY)
     hide = lambda c: F.when(F.col(c) == F.col("node_1"), UNKNOWN.format(1)).when(F.col(c) == F.col("node_2"), UNKNOWN.format(2)).otherwise(F.col(c))
     named = lambda n: F.concat(F.lit(f"<Unknown #{n} ("), F.col(f"kind_{n}"), F.lit(")>"))
     said = joint.select(*KEY, F.replace(F.replace(text, F.col("node_1"), named(1)), F.col("node_2"), named(2)).alias("masked_keypoints"))
