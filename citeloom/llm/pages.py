@@ -48,7 +48,7 @@ DEFAULT_PAGES, DEFAULT_SHARE = 3, 0.8
 #: Pages whose lines of one skeleton are filled, for a blank in it to be an unfilled slot.
 SKELETON_PAGES = 14
 #: Pieces (from a capital to the next) of a template that stands in a sentence with others.
-PART = 8
+PART = 16
 #: Words of filler that make a page residue.
 FILLER_WORDS = 12
 
@@ -88,7 +88,7 @@ _PROGRAM_SIGNS = ("traceback", "error", "exception", "warning:", "sqlstate", "co
 _SEP = re.compile(r"\s*[|·•»>/]\s*|\s+-\s+|\s{2,}|\t")
 _SENT = re.compile(r"[.!?…][\"'”’»」)\]]*[^\S\n]+|[。！？]")
 _HEXLIKE = re.compile(r"[a-f]0|0[a-f]")
-_CAPITAL = re.compile(r"(?<=\s)(?=[^\W_a-zß-öø-ÿ])")
+_CAPITAL = re.compile(r"(?<=\s)(?=[A-ZÀ-ÖØ-ÞА-ЯЁ0-9぀-ヿ㐀-鿿])")
 _PREFIX = re.compile(r"^\W*([^\W\d][^:：\d]{1,30}?)\s?[:：]")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -233,7 +233,7 @@ class Page:
                 self.mass[parent] += size >> 22
             if thin and code & HAS_KEY and code & (PROSE | ENDED):
                 for leaf in templates(_CAPITAL.sub("\x03", line.strip(_OUTER)).lower(), host)[0]:
-                    pieces = [x.strip() for x in leaf.split("\x03")]
+                    pieces = [y for x in leaf.split("\x03") if (y := x.strip())]
                     runs = [h64(" ".join(pieces[j:k])) for j in range(len(pieces)) for k in range(j + 1, min(len(pieces), j + PART) + 1)]
                     self.parts.append(np.array([i, len(pieces), h64(" ".join(pieces)), *runs], np.uint64))
             if skeleton:
