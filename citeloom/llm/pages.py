@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from xxhash import xxh64_intdigest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,8 @@ LOREM = frozenset(
 )
 
 
-_DIGITS, _OTHER = re.compile(r"[0-9]+"), re.compile(r"(?:[^\w\s\x01\x03]|_)+")
+# each begins with one class of signs or one sign, so that the search goes straight to the next of them
+_DIGITS, _OTHER = re.compile(r"[0-9][0-9]*"), re.compile(r"[^\w\s\x01\x03][^\w\s\x01\x03]*")
 _HEX = re.compile(r"\b(?=[a-f]*0)(?:[a-f]|0){3,}\b")
 _ANY = re.compile(r"[^\W_]")
 _OUTER = " \t|•»·*–-\xa0\r"
@@ -86,15 +88,16 @@ _OUTER = " \t|•»·*–-\xa0\r"
 _FILLER_SIGNS = ("dolor", "ipsum", "aliqu", "eiusmod", "consequat", "incididunt", "exercitation", "cupidatat", "reprehenderit", "adipisc")
 _PROGRAM_SIGNS = ("traceback", "error", "exception", "warning:", "sqlstate", "connectionpool", "file \"", "content type is", "empty html", "undefined", "[object", ".php", "noscript", "remotedisconnected", "segmentation", "stack trace", "connection aborted", "\n  at ", "\n\tat ")
 _SEP = re.compile(r"\s*[|·•»>/]\s*|\s+-\s+|\s{2,}|\t")
-_SENT = re.compile(r"[.!?…][\"'”’»」)\]]*[^\S\n]+|[。！？]")
-_HEXLIKE = re.compile(r"[a-f]0|0[a-f]")
+_SEPS = frozenset("|·•»>/")
+_SENT = re.compile(r"[.!?…。！？](?:(?<=[.!?…])[\"'”’»」)\]]*[^\S\n]+|(?<=[。！？]))")
+_HEXLIKE = re.compile(r"0(?:[a-f]|(?<=[a-f]0))")
 _CAPITAL = re.compile(r"(?<=\s)(?=[A-ZÀ-ÖØ-ÞА-ЯЁ0-9぀-ヿ㐀-鿿])")
 _PREFIX = re.compile(r"^\W*([^\W\d][^:：\d]{1,30}?)\s?[:：]")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _ENDED = re.compile(r"[.!?。！？…][\"'”’»」)\]]*\s*$")
 _ITEM = re.compile(r"^\s*(?:[•»*\-–·|]|\d{1,2}[.)])\s*")
-_SIGN = re.compile(r"[{<\[$%#]|__|TODO")
+_SIGN, _DIGIT = frozenset("{<[$%#"), re.compile(r"\d")
 _MARKS = ",.;:!?，。；：！？"
 _BLANK = re.compile(r"\w ,(?=\s|$)|,\s*,|\(\s*\)")
 _NAMES = re.compile(r"[^\W_]+(?:[._][^\W_]+)*")
@@ -111,7 +114,7 @@ def templates(text: str, host: str) -> list[list[str]]:
     s = _DIGITS.sub("0", s)
     if _HEXLIKE.search(s):
         s = _HEX.sub("0", s)
-    s = _OTHER.sub(" ", s)
+    s = _OTHER.sub(" ", s.replace("_", " "))
     if host:
         return [[x.replace(host, "§") for p in line.split("\x01") if (x := " ".join(p.split()))] for line in s.split("\n")]
     return [[x for p in line.split("\x01") if (x := " ".join(p.split()))] for line in s.split("\n")]
@@ -179,7 +182,7 @@ class Page:
         self.blanks: set[int] = set()
         self.parts: list[np.ndarray] = []
         self.filler = 0
-        self.mass = np.zeros(48, np.int64)
+        self.mass = [0] * 48
         self.tags: dict[int, list[int]] = {}
         self.line_tags: list[int] = []
         lines = text.split("\n")
@@ -228,9 +231,9 @@ class Page:
             parent = (0 if i < first else 2 if i > last else 1) | bool(code & ENDED) << 2 | bool(code & WORDY) << 3 | thin
             self.codes.append(code)
             self.hashes += own
-            for size in sizes:
-                self.sizes.append(size | parent)
-                self.mass[parent] += size >> 22
+            if sizes:
+                self.sizes += [x | parent for x in sizes]
+                self.mass[parent] += sum([x >> 22 for x in sizes])
             if thin and code & HAS_KEY and code & (PROSE | ENDED):
                 for leaf in templates(_CAPITAL.sub("\x03", line.strip(_OUTER)).lower(), host)[0]:
                     pieces = [y for x in leaf.split("\x03") if (y := x.strip())]
@@ -283,10 +286,11 @@ def _line(line: str, host: str, program: bool, leaves: list[str] | None) -> tupl
             if words and not code & PROSE:
                 shape = re.sub(r"\s+", "", shape)
                 skeleton = (h64(f"{words[0]} {shape}") >> 1 or 1) * (-1 if _BLANK.search(flat) else 1)
-        if len(flat) <= 60 and _READING.match(flat) or len(flat) <= 70 and "©" not in flat and _DATE.search(flat) or len(flat) <= 110 and not code & ENDED and _BYLINE.match(flat):
+        # dates and reading times have a digit
+        if len(flat) <= 70 and _DIGIT.search(flat) and (len(flat) <= 60 and _READING.match(flat) or "©" not in flat and _DATE.search(flat)) or len(flat) <= 110 and not code & ENDED and _BYLINE.match(flat):
             return code | META, own, sizes, skeleton
     whole = leaves is None
-    if whole and _SIGN.search(core) and _SPAN.search(core):
+    if whole and (not _SIGN.isdisjoint(core) or "__" in core or "TODO" in core) and _SPAN.search(core):
         # a line with what may be a slot keeps its signs, so that it isn't taken for one with the bare name
         leaves, whole = ["\x02" + " ".join(core.lower().split())], False
     elif whole:
@@ -304,15 +308,18 @@ def _line(line: str, host: str, program: bool, leaves: list[str] | None) -> tupl
         sizes.append(_size(key, marks))
     segs = leaves
     if whole:
-        parts = [x for x in _SEP.split(line.strip(_OUTER)) if x.strip()]
+        outer = line.strip(_OUTER)
+        # with single blanks only and no sign that separates there is nothing to split
+        parts = [outer] if outer == flat and _SEPS.isdisjoint(outer) and " - " not in outer else [x for x in _SEP.split(outer) if x.strip()]
         if len(parts) >= 2 and max(map(len, parts)) <= 30:
             segs = [k for x in parts if (k := template(x, host))]
         elif not code & (PROSE | ENDED):
             segs = []
     if len(segs) > 1:
         code |= len(segs) << SEGMENTS
-        own += map(h64, segs)
-        sizes += [_size(x, -(-marks // len(segs))) for x in segs]
+        own += map(xxh64_intdigest, segs)
+        each = _size("", -(-marks // len(segs)))
+        sizes += [len(x) << 22 | each for x in segs]
     return code, own, sizes, skeleton
 
 
@@ -339,7 +346,7 @@ def page_paths(pages: DataFrame) -> DataFrame:
                 p = Page(t, host, s, memo)
                 body = np.sort(mix(np.array(list(p.body), np.uint64)))[:BODY] if len(p.body) >= LEAST_BODY else np.empty(0, np.uint64)
                 tags = [{"path": int(signed(np.array([k], np.uint64))[0]), "up": int(signed(np.array([v[0]], np.uint64))[0]), "nodes": v[1], "chars": v[2], "marks": v[3]} for k, v in p.tags.items()]
-                for c, v in zip(out, (np.array(p.codes, np.int64), ints(p.hashes), np.array(p.sizes, np.int64), p.mass, p.filler, signed(body), signed(bands(body, perms)), [signed(x) for x in p.parts], p.spans, ints(p.skeletons), ints(p.blanks), tags, ints(p.line_tags))):
+                for c, v in zip(out, (np.array(p.codes, np.int64), ints(p.hashes), np.array(p.sizes, np.int64), np.array(p.mass, np.int64), p.filler, signed(body), signed(bands(body, perms)), [signed(x) for x in p.parts], p.spans, ints(p.skeletons), ints(p.blanks), tags, ints(p.line_tags))):
                     out[c].append(v)
             yield b[["tbl", "page_key", "page", "site"]].assign(**out)
 

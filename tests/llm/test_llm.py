@@ -279,6 +279,41 @@ def test_language_models():
     assert np.allclose(sums, 1, atol=1e-3)
 
 
+def test_languages_of_many_texts_at_once(monkeypatch):
+    m = langid.train([(k, t) for k, v in SAMPLES.items() for t in v])
+    m.index()
+    texts = ["", " ", "a", "ab", "The", "İ. x", "12 34", *(t for v in SAMPLES.values() for t in v), *(" ".join(v) + "\n" + " ".join(SAMPLES["fr"]) for v in SAMPLES.values())]
+    bits, starts = m.score_all(texts)
+    assert len(bits) == sum(len(t.lower()) for t in texts) + 1 and not bits[-1].any()
+    for t, at in zip(texts, starts):
+        s = m.encode(t)
+        for i in range(len(s)):
+            # the interpolation written out, from the shortest n-gram to the longest
+            q = m.base[s[i]].astype(float)
+            for k in range(2, min(langid.ORDER, i + 1) + 1):
+                rows = s[i - k + 1]
+                for j in range(2, k):
+                    rows = m.tables[j][rows, s[i - k + j]]
+                q = q * m.backs_[k][rows] + m.adds_[k][m.tables[k][rows, s[i]]]
+            assert np.allclose(bits[at + i], -np.log2(q), atol=1e-3)
+    want = [langid.identify(t, m) for t in texts]
+    assert langid.identify_all(texts, m) == want and langid.identify_all([], m) == []
+    # texts in several groups, and bits forgotten in between
+    monkeypatch.setattr(langid, "CHUNK", 50)
+    monkeypatch.setattr(langid, "REMEMBERED", 20)
+    assert langid.identify_all(texts * 3, m) == want * 3
+
+
+def test_sentences_end_as_by_the_plain_pattern():
+    plain = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[”’」』）]*")
+    for s in ["One. Two!? \"Three...\" 3.5 a.b.", "他说。”然后！！」走了？ end…", "x.。 y。.", "...", ".\"a", "。.!\u3000", "no end"]:
+        assert [m.span() for m in plain.finditer(s)] == [m.span() for m in langid._SENTENCE_END.finditer(s)]
+    sent, other = re.compile(r"[.!?…][\"'”’»」)\]]*[^\S\n]+|[。！？]"), re.compile(r"(?:[^\w\s\x01\x03]|_)+")
+    for s in ["one. two!?  \"three...\" 3.5 a_b -_- c", "他说。”然后！！」走了？ end… x", "a0f 0a b_0c d0-_e", "_x_ y\x03z"]:
+        assert sent.sub("\x01", s) == pages._SENT.sub("\x01", s)
+        assert " ".join(other.sub(" ", s).split()) == " ".join(pages._OTHER.sub(" ", s.replace("_", " ")).split())
+
+
 def test_labels(spark):
     for x, want in {None: None, "": None, "und": None, "N/A": None, "de_AT": "de", "DEU": "de", "German": "de", "zh-CN": "zh", "tlh": "tlh", " en ": "en"}.items():
         assert langid.label_code(x) == want
