@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,24 +31,87 @@ CHUNK = 256
 TOXIC, CLEAN = frozenset("abusive abuse hateful hate adult sexual toxic explicit".split()), frozenset("ok clean fine safe".split())
 
 _HIDDEN = re.compile("[­​-‏⁠️﻿]")
+
+
+def _signs(signs: Iterable[str]) -> str:
+    """The inside of a class of these signs, in order: one table for the search, where categories are asked sign by sign."""
+    out: list[list[int]] = []
+    for i in map(ord, signs):
+        if out and out[-1][1] == i - 1:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out)
+
+
+# texts with a sign beyond the first plane, for which a class would be a long list, take the patterns with categories
+_WIDE = re.compile("[\U00010000-\U0010ffff]")
+_ALNUM = [c for c in map(chr, range(0x10000)) if c.isalnum()]
+#: In the first plane: letters in the sense of [^\W\d_]; decimal digits; what is alphanumeric but no letter of an alphabet.
+_L, _D, _N = _signs(c for c in _ALNUM if not c.isdecimal()), _signs(filter(str.isdecimal, _ALNUM)), _signs(c for c in _ALNUM if not c.isalpha())
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_·*]{1,2}[^\W\d_](?![^\W_])){2,}")
+# what a text must have for the pattern above to match
+_MAYBE_SPACED = re.compile(r"[ .\-_·*][^\W\d_][ .\-_·*]{1,2}[^\W\d_](?![^\W_])")
 _LEET = re.compile(r"(?<![\w@$!(+])(?=[^\s]*[^\W\d_])[(@$]?(?:[^\W_]|[@$!(+|](?=[^\W_]))+")
+_LEET_SIGN = re.compile(rf"[{_N}@$!(+|]")
 _MASK = re.compile(r"([^\W\d_])[*#]{2,}([^\W\d_])?")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
-_MIXED = re.compile(r"[a-z][а-яёіјѕ]|[а-яёіјѕ][a-z]")
-_TOKEN = re.compile(r"\n|[぀-ヿ㐀-鿿]+|[^\W\d_]+(?:'[^\W\d_]+)?(?:\*[^\W\d_]?)?")
+_CYRILLIC, _MIXED = re.compile("[а-яёіјѕ]"), re.compile(r"[a-z](?:[а-яёіјѕ]|(?<=[а-яёіјѕ].))")
+_TOKEN = re.compile(rf"\n|[぀-ヿ㐀-鿿]+|[{_L}]+(?:'[{_L}]+)?(?:\*[{_L}]?)?")
+_TOKEN_WIDE = re.compile(r"\n|[぀-ヿ㐀-鿿]+|[^\W\d_]+(?:'[^\W\d_]+)?(?:\*[^\W\d_]?)?")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
-_SEGMENT = re.compile(r"[.!?…;]+(?=[\s\"'”’»)]|$)|\n+|[。！？；]+")
+_SEGMENT = re.compile(r"[.!?…;\n。！？；](?:(?<=[.!?…;])[.!?…;]*(?=[\s\"'”’»)]|$)|(?<=\n)\n*|(?<=[。！？；])[。！？；]*)")
 # fixed values: signs that stand for letters
 _SIGNS = str.maketrans("@431!05$7(+|", "aeiiiosstctl")
 _TWINS = str.maketrans("аеорсухіјѕкмтвн", "aeopcyxijskmtbh")
-_ODD_SIGNS = (*"*#@$(|+", *(3 * c for c in "abcdefghijklmnopqrstuvwxyz"))
-_ODD = re.compile(r"\d[^\W\d_]|[\d!](?<=[^\W\d_].)[^\W_]|[ .\-_·][^\W\d_][ .\-_·][^\W\d_](?![^\W_])")
-_ODD_OTHER = re.compile(r"[­\u200b-\u200f\u2060\ufe0f\ufeff]|[a-z][а-яёіјѕ]|[а-яёіјѕ][a-z]|([^\W\d_a-z])\1\1")
+_TRIPLES = tuple(3 * c for c in "abcdefghijklmnopqrstuvwxyz")
+_ODD_SIGNS = (*"*#@$(|+", *_TRIPLES)
+_ODD = re.compile(rf"[{_D}! .\-_·](?:(?<=[{_D}])[{_L}]|(?<=[{_L}][{_D}!])[^\W_]|(?<=[ .\-_·])[{_L}][ .\-_·][{_L}](?![^\W_]))")
+_ODD_WIDE = re.compile(r"\d[^\W\d_]|[\d!](?<=[^\W\d_].)[^\W_]|[ .\-_·][^\W\d_][ .\-_·][^\W\d_](?![^\W_])")
+_TRIPLE = re.compile(rf"([{_signs(c for c in _ALNUM if not c.isdecimal() and not "a" <= c <= "z")}])\1\1")
+_TRIPLE_WIDE = re.compile(r"([^\W\d_a-z])\1\1")
+
+
+def _wide(s: str) -> bool:
+    return not s.isascii() and bool(_WIDE.search(s))
+
+
+def _mixed(s: str) -> bool:
+    return not s.isascii() and bool(_CYRILLIC.search(s)) and bool(_MIXED.search(s))
 
 
 def _odd(s: str) -> bool:
-    return any(x in s for x in _ODD_SIGNS) or bool(_ODD.search(s)) or not s.isascii() and bool(_ODD_OTHER.search(s))
+    for x in _ODD_SIGNS:
+        if x in s:
+            return True
+    if s.isascii():
+        return bool(_ODD.search(s))
+    odd, triple = (_ODD_WIDE, _TRIPLE_WIDE) if _wide(s) else (_ODD, _TRIPLE)
+    return bool(odd.search(s)) or bool(_HIDDEN.search(s)) or _mixed(s) or bool(triple.search(s))
+
+
+def _letters(s: str) -> str:
+    """s with digits and signs that stand for letters replaced; only where a word has such a sign is it looked at."""
+    if _wide(s):
+        return _LEET.sub(lambda m: _plain(m[0]), s)
+    out, at = [], 0
+    for m in _LEET_SIGN.finditer(s):
+        i = m.start()
+        if i < at:
+            continue
+        while i and s[i - 1].isalpha():
+            i -= 1
+        if i >= at and (found := _LEET.match(s, i)):
+            out += s[at:i], _plain(found[0])
+            at = found.end()
+    return "".join([*out, s[at:]]) if out else s
+
+
+def _plain(w: str) -> str:
+    if w[0].isdigit() and len(w) > 1 and not w[1].isalpha() or w.isalpha():
+        return w
+    letters = sum(c.isalpha() and c < "\u0500" for c in w)
+    return w.translate(_SIGNS) if letters >= 2 and len(w) - letters <= letters + 1 else w
 
 
 def normalise(text: str) -> str:
@@ -57,20 +120,15 @@ def normalise(text: str) -> str:
     if not _odd(s):
         return s
     s = unicodedata.normalize("NFKC", _HIDDEN.sub("", s))
-    s = _SPACED.sub(lambda m: re.sub(r"[ .\-_·*]", "", m[0]), s)
-    if _MIXED.search(s):
+    if _MAYBE_SPACED.search(s):
+        s = _SPACED.sub(lambda m: re.sub(r"[ .\-_·*]", "", m[0]), s)
+    if _mixed(s):
         s = re.sub(r"[a-zа-яёіјѕ]+", lambda m: m[0].translate(_TWINS) if _MIXED.search(m[0]) else m[0], s)
-    s = _MASK.sub(r"\1*\2", s)
-
-    def plain(m: re.Match) -> str:
-        w = m[0]
-        if w[0].isdigit() and len(w) > 1 and not w[1].isalpha() or w.isalpha():
-            return w
-        letters = sum(c.isalpha() and c < "\u0500" for c in w)
-        return w.translate(_SIGNS) if letters >= 2 and len(w) - letters <= letters + 1 else w
-
-    s = _LEET.sub(plain, s)
-    return _STRETCH.sub(r"\1", s)
+    if "*" in s or "#" in s:
+        s = _MASK.sub(r"\1*\2", s)
+    s = _letters(s)
+    low = s.lower() if s.isascii() else ""
+    return _STRETCH.sub(r"\1", s) if not s.isascii() or any(x in low for x in _TRIPLES) else s
 
 
 @dataclass
@@ -93,12 +151,12 @@ def split_words(texts: list[str], memo: WordHash) -> Words:
     ends = []
     for text in texts:
         clean = normalise(text)
-        found = _TOKEN.findall(_SEGMENT.sub("\n", clean))
+        found = (_TOKEN_WIDE if _wide(clean) else _TOKEN).findall(_SEGMENT.sub("\n", clean))
         if not clean.isascii() and _CJK.search(clean):
             found = [x for w in found for x in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if "぀" <= w[0] <= "鿿" else (w,))]
         words += found
         ends.append(len(words))
-    hashes = np.fromiter((memo[w] for w in words), np.uint64, len(words))
+    hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     text_of = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
     cut_here = hashes == memo["\n"]
     number = np.cumsum(cut_here) + text_of
@@ -158,41 +216,69 @@ class Model:
         return float(self.scores([text], WordHash())[0])
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting: np.unique hashes, which takes longer for millions."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def features(t: Words) -> tuple[np.ndarray, np.ndarray]:
     """(segment, hash) of the distinct words and pairs of every segment."""
     at, pairs = t.pairs()
     seg, h = np.concatenate([t.seg, t.seg[at]]), np.concatenate([t.words, pairs])
-    order = np.lexsort((h, seg))
-    seg, h = seg[order], h[order]
-    new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (h[1:] != h[:-1])]) if len(seg) else np.empty(0, bool)
-    return seg[new], h[new]
-
-
-def _matrix(seg: np.ndarray, h: np.ndarray, n: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Row and column of every feature that has a name, the last column being the bias; and the number of rows."""
-    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-    hit = names[at] == h
-    return np.concatenate([seg[hit], np.arange(n)]), np.concatenate([at[hit], np.full(n, len(names))]), n
-
-
-def _fit(pos: tuple, unl: tuple, names: np.ndarray, prior: float, steps: int = 120, rate: float = 0.15, ridge: float = 2e-3) -> Model:
+    kinds, name = np.unique(h, return_inverse=True)
+    both = _distinct(seg.astype(np.uint64) << np.uint64(32) | name.astype(np.uint64))
+    return (both >> np.uint64(32)).astype(np.int64), kinds[both & np.uint64(0xFFFFFFFF)]
+
+
+class _Matrix:
+    """Rows of features that have a name, each feature once in a row, with a last column of ones for the bias; kept by rows and by columns."""
+
+    def __init__(self, seg: np.ndarray, h: np.ndarray, n: int, names: np.ndarray):
+        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        hit = names[at] == h
+        self.n, self.width = n, len(names) + 1
+        order = np.argsort(seg[hit], kind="stable")
+        row, self.column = seg[hit][order], at[hit][order]
+        self.rows, self.row_starts = np.unique(row, return_index=True)
+        order = np.argsort(self.column, kind="stable")
+        self.row = row[order]
+        self.columns, self.column_starts = np.unique(self.column[order], return_index=True)
+        self.room = np.empty(len(row))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """The sum of the weights of each row."""
+        out = np.full(self.n, w[-1])
+        if len(self.rows):
+            out[self.rows] += np.add.reduceat(w.take(self.column, out=self.room, mode="clip"), self.row_starts)
+        return out
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """The sum of g over the rows of each column."""
+        out = np.zeros(self.width)
+        if len(self.columns):
+            out[self.columns] = np.add.reduceat(g.take(self.row, out=self.room, mode="clip"), self.column_starts)
+        out[-1] = g.sum()
+        return out
+
+
+def _fit(pos: _Matrix, unl: _Matrix, names: np.ndarray, prior: float, steps: int = 120, rate: float = 0.15, ridge: float = 2e-3) -> Model:
     """Linear classifier under the non-negative positive-unlabelled risk: prior * R+(P) + max(0, R-(U) - prior * R-(P)), by Adam.
 
     The loss is the sigmoid, which bounds what a wrong verdict can do. Where the part in brackets would fall below zero it has no slope.
     """
-    (pr, pc, n_pos), (ur, uc, n_unl) = pos, unl
-    size = len(names) + 1
+    n_pos, n_unl, size = pos.n, unl.n, len(names) + 1
     w = np.zeros(size)
     w[-1] = -2.0
     m, v = np.zeros(size), np.zeros(size)
     free = np.arange(size) < size - 1
     for t in range(1, steps + 1):
-        zp, zu = np.bincount(pr, w[pc], n_pos), np.bincount(ur, w[uc], n_unl)
+        zp, zu = pos.dot(w), unl.dot(w)
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
         gp, gu = -prior * sp * (1 - sp) / n_pos, np.zeros(n_unl)
         if su.mean() > prior * sp.mean():
             gp, gu = 2 * gp, su * (1 - su) / n_unl
-        g = (np.bincount(pc, gp[pr], size) + np.bincount(uc, gu[ur], size)) / prior + ridge * w * free
+        g = (pos.back(gp) + unl.back(gu)) / prior + ridge * w * free
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(float(w[-1]), names, w[:-1].astype(np.float32))
@@ -213,10 +299,9 @@ def train(positive: list[str], unlabelled: list[str], prior: float, rounds: int
     us, uh = features(unl)
 
     def documents(seg: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((doc[seg], h))
-        a, d = h[order], doc[seg][order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
-        return np.unique(a[new], return_counts=True)
+        kinds, name = np.unique(h, return_inverse=True)
+        both = _distinct(name.astype(np.uint64) << np.uint64(32) | doc[seg].astype(np.uint64))
+        return kinds, np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(kinds))
 
     in_pos, n_pos = documents(ps, ph, pos.doc)
     in_unl, n_unl = documents(us, uh, unl.doc)
@@ -232,14 +317,14 @@ def train(positive: list[str], unlabelled: list[str], prior: float, rounds: int
     # what several confirmed documents have, and what isn't rare in the others
     kinds, uses = np.unique(uh, return_counts=True)
     names = np.union1d(in_pos[often], kinds[uses >= 4])
-    unl_matrix = _matrix(us, uh, len(unl.doc), names)
+    unl_matrix = _Matrix(us, uh, len(unl.doc), names)
     model = Model()
     for r in range(rounds):
         share = min(0.3, max(1e-3, prior * min(2.0, max(1.0, len(chosen) / n_docs)) / per_doc))
         row = np.full(len(pos.doc), -1)
         row[chosen] = np.arange(len(chosen))
         hit = row[ps] >= 0
-        model = _fit(_matrix(row[ps][hit], ph[hit], len(chosen), names), unl_matrix, names, share)
+        model = _fit(_Matrix(row[ps][hit], ph[hit], len(chosen), names), unl_matrix, names, share)
         if r + 1 < rounds:
             z = model.segments(pos)
             order = np.lexsort((-z, pos.doc))

@@ -476,6 +476,30 @@ def test_golden_points_are_even(spark):
 
 
 # --- 9 ---
+def test_disguises_are_found_as_by_the_plain_patterns():
+    rng = random.Random(91)
+    signs = "ab1!|@$(+ .-_*#'\n\u0430e\u0301\u00e9\u00b2\u00bd\u4e2d\u306e\u3002;\u20263A\u00b7\U0001d41a\U00020000"
+    segment = re.compile(r"[.!?…;]+(?=[\s\"'”’»)]|$)|\n+|[。！？；]+")
+    for _ in range(4000):
+        s = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
+        assert segment.sub("\n", s) == toxicity._SEGMENT.sub("\n", s)
+        assert toxicity._LEET.sub(lambda m: toxicity._plain(m[0]), s) == toxicity._letters(s)
+        if not toxicity._wide(s):
+            assert toxicity._TOKEN_WIDE.findall(s) == toxicity._TOKEN.findall(s)
+            assert bool(toxicity._ODD_WIDE.search(s)) == bool(toxicity._ODD.search(s)) and bool(toxicity._TRIPLE_WIDE.search(s)) == bool(toxicity._TRIPLE.search(s))
+            assert bool(toxicity._SPACED.search(s)) <= bool(toxicity._MAYBE_SPACED.search(s))
+
+
+def test_matrix_of_features():
+    seg, h = np.array([0, 0, 2, 2, 3]), np.array([5, 9, 5, 7, 8], np.uint64)
+    m = toxicity._Matrix(seg, h, 5, np.array([5, 7, 9], np.uint64))
+    dense = np.array([[1, 0, 1, 1], [0, 0, 0, 1], [1, 1, 0, 1], [0, 0, 0, 1], [0, 0, 0, 1.0]])
+    w, g = np.array([0.5, -2.0, 3.0, 0.25]), np.array([1.0, 2.0, -4.0, 8.0, 0.5])
+    assert np.allclose(m.dot(w), dense @ w) and np.allclose(m.back(g), g @ dense)
+    none = toxicity._Matrix(seg[:0], h[:0], 2, np.array([5], np.uint64))
+    assert none.dot(np.array([1.0, 2.0])).tolist() == [2.0, 2.0] and none.back(np.ones(2)).tolist() == [0.0, 2.0]
+
+
 def test_disguises():
     for x in ("sh​it", "s h i t", "s-h-i-t", "shhhit", "$h1t", "shіt"):
         assert "shit" in toxicity.normalise(x), x
