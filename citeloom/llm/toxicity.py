@@ -216,10 +216,16 @@ class Model:
         return float(self.scores([text], WordHash())[0])
 
 
-def _distinct(values: np.ndarray) -> np.ndarray:
-    """The different values in order, by sorting: np.unique hashes, which takes longer for millions."""
-    values = np.sort(values)
-    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of numbers under 2**32, in order; in place, and by sorting: np.unique hashes, which takes longer for millions."""
+    both = first.astype(np.uint64)
+    both <<= np.uint64(32)
+    both |= second.view(np.uint64)
+    both.sort()
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    second = (both & np.uint64(0xFFFFFFFF)).view(np.int64)
+    both >>= np.uint64(32)
+    return both.view(np.int64), second
 
 
 def features(t: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -227,23 +233,29 @@ def features(t: Words) -> tuple[np.ndarray, np.ndarray]:
     at, pairs = t.pairs()
     seg, h = np.concatenate([t.seg, t.seg[at]]), np.concatenate([t.words, pairs])
     kinds, name = np.unique(h, return_inverse=True)
-    both = _distinct(seg.astype(np.uint64) << np.uint64(32) | name.astype(np.uint64))
-    return (both >> np.uint64(32)).astype(np.int64), kinds[both & np.uint64(0xFFFFFFFF)]
+    del h
+    seg, name = _pairs(seg, name)
+    return seg, kinds[name]
 
 
 class _Matrix:
-    """Rows of features that have a name, each feature once in a row, with a last column of ones for the bias; kept by rows and by columns."""
+    """Rows (seg, in order) of features that have a name, each feature once in a row, with a last column of ones for the bias; kept by rows and by columns."""
 
     def __init__(self, seg: np.ndarray, h: np.ndarray, n: int, names: np.ndarray):
-        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        at = np.searchsorted(names, h)
+        np.minimum(at, len(names) - 1, out=at)
         hit = names[at] == h
         self.n, self.width = n, len(names) + 1
-        order = np.argsort(seg[hit], kind="stable")
-        row, self.column = seg[hit][order], at[hit][order]
-        self.rows, self.row_starts = np.unique(row, return_index=True)
+        self.column, row = at[hit], seg[hit]
+        del at, hit
+        starts = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+        self.row_starts = starts(row)
+        self.rows = row[self.row_starts]
         order = np.argsort(self.column, kind="stable")
         self.row = row[order]
-        self.columns, self.column_starts = np.unique(self.column[order], return_index=True)
+        row = self.column[order]
+        self.column_starts = starts(row)
+        self.columns = row[self.column_starts]
         self.room = np.empty(len(row))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -300,8 +312,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float, rounds: int
 
     def documents(seg: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kinds, name = np.unique(h, return_inverse=True)
-        both = _distinct(name.astype(np.uint64) << np.uint64(32) | doc[seg].astype(np.uint64))
-        return kinds, np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(kinds))
+        return kinds, np.bincount(_pairs(name, doc[seg])[0], minlength=len(kinds))
 
     in_pos, n_pos = documents(ps, ph, pos.doc)
     in_unl, n_unl = documents(us, uh, unl.doc)
